@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from arborlake.llm import chat, mixing
+from arborlake.llm import chat, langid, mixing, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1,
         "op2_chat_format": chat.op2,
+        "op3_quality": quality.op3,
+        "op6_language": langid.op6,
+        "op8_secrets": secrets.op8,
     }
 
 
