@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arborlake.llm import chat, langid, mixing, quality, secrets
+from arborlake.llm import chat, langid, mixing, neardup, quality, secrets
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mix_sources": mixing.op1,
         "op2_chat_format": chat.op2,
         "op3_quality": quality.op3,
+        "op4_near_duplicates": neardup.op4,
         "op6_language": langid.op6,
         "op8_secrets": secrets.op8,
     }
