@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arborlake.llm import chat, langid, mixing, neardup, quality, secrets
+from arborlake.llm import chat, langid, lm, mixing, neardup, quality, secrets
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_near_duplicates": neardup.op4,
         "op6_language": langid.op6,
         "op8_secrets": secrets.op8,
+        "op10_lm_scores": lm.op10,
     }
 
 
