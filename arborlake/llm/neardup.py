@@ -48,7 +48,7 @@ def with_sets(docs: DataFrame) -> DataFrame:
     n = F.size("h")
     pairs = F.zip_with(F.slice("h", 1, n - 1), F.slice("h", 2, n - 1), lambda a, b: F.xxhash64(a, b))
     some = F.when(n > 1, pairs).otherwise(F.transform("h", lambda a: F.xxhash64(a, F.lit("alone"))))
-    return h.select("doc_id", F.array_sort(F.array_distinct(F.when(n > 0, some).otherwise(F.array().cast("array<bigint>")))).alias("shingles"))
+    return h.select("doc_id", F.sort_array(F.array_distinct(F.when(n > 0, some).otherwise(F.array().cast("array<bigint>")))).alias("shingles"))
 
 
 def _bin(x: Column) -> Column:

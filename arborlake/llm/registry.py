@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arborlake.llm import chat, langid, lm, mixing, neardup, quality, secrets
+from arborlake.llm import chat, decontam, imatch, langid, lm, mixing, neardup, quality, secrets, warc
 
 
 def queries() -> dict:
@@ -11,8 +11,11 @@ def queries() -> dict:
         "op2_chat_format": chat.op2,
         "op3_quality": quality.op3,
         "op4_near_duplicates": neardup.op4,
+        "op5_fingerprints": imatch.op5,
         "op6_language": langid.op6,
+        "op7_warc_derivatives": warc.op7,
         "op8_secrets": secrets.op8,
+        "op9_decontaminate": decontam.op9,
         "op10_lm_scores": lm.op10,
     }
 
