@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arborlake.llm.textops import table, text_of
+from arborlake.llm.textops import table, text_of, without
 from arborlake.session import Scratch
 
 N, RARE, LEAST, SCORE, BROADCAST_SEEDS = 3, 0.5, 4, 0.5, 1_000_000
@@ -114,5 +114,10 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float
     return scored.filter(F.col("score") >= least_score)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least_score: float = SCORE) -> DataFrame:
+    """The rows of docs that hold no item of the benchmark; all columns as they are."""
+    return without(docs, Scratch(docs.sparkSession, "leaks").save(find_contaminated(docs, benchmark, least_score).select("doc_id"), "leaks"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -89,6 +89,16 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = SHARE,
     )
 
 
+def take(docs: DataFrame, **options) -> DataFrame:
+    """docs with each row as often as the mix takes it, numbered by copy. Rows alike in id, source and size share one number of copies."""
+    key = ["doc_id", "source", "size"]
+    found = mix(docs, **options).groupBy(*key).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in key], "_copies")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (n_words("text") == F.col("_size"))
+    joined = docs.join(found, same)
+    return joined.select(*[F.col(c) for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy"))
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.llm.components import components
-from arborlake.llm.textops import lower_ascii, table, text_of, words
+from arborlake.llm.textops import lower_ascii, table, text_of, without, words
 from arborlake.session import Scratch
 
 COORDINATES, TREES, LEAF, START, DEPTH, AGREE = 64, 16, 128, 2, 12, 32
@@ -180,5 +180,21 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100, trees: int =
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs that stay when one document of each component does; all columns as they are.
+
+    An id that any of its rows keeps stays; if rows repeat it, as one of them, that with the least text."""
+    found = near_duplicates(docs, num, den).filter(F.col("doc_id").isNotNull())
+    fate = Scratch(docs.sparkSession, "fate").save(found.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count("*").alias("rows")), "fate")
+    rest = without(docs, fate.filter(~F.col("stays")).select("doc_id"))
+    twice = fate.filter(F.col("rows") > 1).select(F.col("doc_id").alias("_twice"))
+    if twice.isEmpty():
+        return rest
+    several = rest.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi")
+    least = several.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("text", "doc_id")])).alias("_row"))
+    one = least.select(*[F.col(c) if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
+    return without(rest, twice).unionByName(one)
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

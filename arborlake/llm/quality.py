@@ -130,6 +130,19 @@ def _scorer(model: tuple[np.ndarray, float]):
     return run
 
 
+def keep_good(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores at least threshold; all columns as they are."""
+    weights, bias = model
+
+    @F.pandas_udf("double")
+    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = Scorer(weights, bias)
+        for s in texts:
+            yield pd.Series([one(t) for t in s], dtype=float)
+
+    return docs.filter(scores("text") >= threshold)
+
+
 class Scorer:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from arborlake.llm import chat, decontam, imatch, langid, lm, mixing, neardup, quality, secrets, warc
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_mix_sources": mixing.op1,
         "op2_chat_format": chat.op2,
         "op3_quality": quality.op3,

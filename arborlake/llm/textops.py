@@ -41,3 +41,15 @@ def remainder(doc_id: str, mod: int) -> Column:
 
 def hex_sha256(col: Column) -> Column:
     return F.sha2(col.cast("binary"), 256)
+
+
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ids (one column, counted here). Few ids are broadcast, more are joined by a shuffle.
+
+    Rows with a null doc_id share one fate."""
+    ids = ids.select(F.col(ids.columns[0]).alias("_gone")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
