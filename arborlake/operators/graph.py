@@ -356,7 +356,7 @@ def louvain(edges: DataFrame, vertices: DataFrame) -> DataFrame:
             least[c] = min(least.get(c, v), v)
         return pd.DataFrame({"id": nodes, "cluster_id": [least[member[v]] for v in nodes]}, dtype="int64")
 
-    return rows.groupBy(F.lit(1)).applyInPandas(run, "id long, cluster_id long")
+    return rows.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(lambda pdf: run(pdf[["a", "b"]]), "id long, cluster_id long")
 
 
 def label_propagation(edges: DataFrame, vertices: DataFrame, rounds: int = 10) -> DataFrame:

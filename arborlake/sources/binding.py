@@ -132,7 +132,7 @@ class Model:
         """series, idx (day), value, n, mean."""
         e = self.raw("events")
         g = e.groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 4).alias("value"), F.count("*").alias("n"), F.avg("value").alias("mean"))
-        return g.select("series", (F.row_number().over(W.partitionBy("series").orderBy("day")) - 1).alias("idx"), "day", "value", "n", "mean")
+        return g.select("series", (F.row_number().over(W.partitionBy("series").orderBy("day")) - 1).cast("long").alias("idx"), "day", "value", "n", "mean")
 
 
 SQL = {
