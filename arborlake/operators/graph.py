@@ -106,11 +106,68 @@ def connected_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return _fixpoint(scratch, scratch.save(vertices.select("id", F.col("id").alias("component")), "0"), step, "round")
 
 
-def strong_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """id, scc_id: the least id of the strongly connected component.
+#: Graphs of up to so many edges are one task's work: a loop of joins costs seconds a round, whatever its size.
+SMALL_EDGES = 200_000
+
+
+def _in_one_task(edges: DataFrame, vertices: DataFrame, solve, schema: str) -> DataFrame:
+    """solve(nodes, successors) on a graph that the caller has found small."""
+    rows = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(vertices.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"))).withColumn("g", F.lit(1))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        adj: dict = {int(x): [] for x in sorted(pdf[pdf.b.isna()].a)}
+        for a, b in pdf[["a", "b"]].dropna().drop_duplicates().itertuples(index=False):
+            if a != b and int(a) in adj and int(b) in adj:
+                adj[int(a)].append(int(b))
+        return pd.DataFrame(solve(adj), columns=names, dtype="int64")
+
+    return rows.groupBy("g").applyInPandas(run, schema)
+
+
+def _tarjan(adj: dict) -> list[tuple]:
+    """(node, least node of its component), without recursion."""
+    index: dict = {}
+    low: dict = {}
+    on, stack, out = set(), [], []
+    for root in adj:
+        if root in index:
+            continue
+        work = [(root, iter(adj[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        on.add(root)
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(adj[w])))
+                    break
+                if w in on:
+                    low[v] = min(low[v], index[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    part = []
+                    while not part or part[-1] != v:
+                        part.append(stack.pop())
+                        on.discard(part[-1])
+                    out += [(w, min(part)) for w in part]
+    return out
+
+
+def strong_components(edges: DataFrame, vertices: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
+    """id, scc_id: the least id of the strongly connected component. Graphs of up to small edges are solved in one task, others by joins.
 
     Trim and colour: nodes without an edge in or out among those left are components of their own; of the rest, each takes
     the least id that reaches it as colour, and what reaches the colour's own node within the colour is its component."""
+    if edges.limit(small + 1).count() <= small:
+        return _in_one_task(edges, vertices, _tarjan, "id long, scc_id long")
     scratch = Scratch(edges.sparkSession, "scc")
     left = scratch.save(vertices.select("id"), "left-0")
     e = scratch.save(edges.filter("src <> dst").select("src", "dst").distinct(), "edges-0")
@@ -181,8 +238,27 @@ def condensation(edges: DataFrame, scc: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").filter("sa <> sb").select(F.col("sa").alias("src"), F.col("sb").alias("dst")).distinct()
 
 
-def layers(edges: DataFrame, scc: DataFrame) -> DataFrame:
+def _longest(adj: dict) -> list[tuple]:
+    """(node, length of the longest path that ends in it) of an acyclic graph."""
+    left = dict.fromkeys(adj, 0)
+    for out in adj.values():
+        for w in out:
+            left[w] += 1
+    layer, free = dict.fromkeys(adj, 0), [v for v, n in left.items() if not n]
+    for v in free:
+        for w in adj[v]:
+            layer[w] = max(layer[w], layer[v] + 1)
+            left[w] -= 1
+            if not left[w]:
+                free.append(w)
+    return list(layer.items())
+
+
+def layers(edges: DataFrame, scc: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """id, layer: the longest path from a source over the condensation."""
+    if edges.limit(small + 1).count() <= small:
+        found = _in_one_task(condensation(edges, scc), scc.select(F.col("scc_id").alias("id")).distinct(), _longest, "node long, layer long")
+        return scc.join(found, F.col("scc_id") == F.col("node")).select("id", "layer")
     scratch = Scratch(edges.sparkSession, "layers")
     dag = scratch.save(condensation(edges, scc), "dag")
 
