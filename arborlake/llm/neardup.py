@@ -36,7 +36,7 @@ from arborlake.llm.components import components
 from arborlake.llm.textops import lower_ascii, table, text_of, without, words
 from arborlake.session import Scratch
 
-COORDINATES, TREES, LEAF, START, DEPTH, AGREE = 64, 16, 128, 2, 12, 32
+COORDINATES, TREES, LEAF, START, DEPTH, AGREE = 64, 16, 128, 4, 12, 32
 BROADCAST_IDS = 2_000_000
 _PACK = COORDINATES // 8
 SIG = [f"s{j}" for j in range(_PACK)]
