@@ -169,7 +169,7 @@ def breaking(symbols: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFr
     """Exports of changed files (file_id) that symbols of other files refer to, with a class by how many."""
     s = symbols.filter("is_exported = 1").join(changed.select("file_id"), "file_id", "left_semi").select("id", "name", "kind", "file_id")
     src = symbols.select(F.col("id").alias("source_id"), F.col("file_id").alias("from_file"))
-    n = edges.withColumnRenamed("target_id", "id").join(s.select("id", "file_id"), "id").join(src, "source_id").filter("from_file <> file_id").groupBy("id").agg(F.count_distinct("source_id").alias("consumers"))
+    n = edges.select("source_id", F.col("target_id").alias("id")).join(s.select("id", "file_id"), "id").join(src, "source_id").filter("from_file <> file_id").groupBy("id").agg(F.count_distinct("source_id").alias("consumers"))
     return s.join(n, "id").withColumn("severity", breaking_class(F.col("consumers")))
 
 
