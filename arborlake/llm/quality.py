@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from arborlake.llm.textops import remainder, table
 
-BUCKETS, DIM, EPOCHS, RATE, SAMPLE_DOCS, FOLD, THRESHOLD, SEED = 1 << 18, 8, 12, 0.5, 3000, 5, 0.3, 7
+BUCKETS, DIM, EPOCHS, STEPS, RATE, SAMPLE_DOCS, FOLD, THRESHOLD, SEED = 1 << 18, 8, 12, 10_000, 0.5, 3000, 5, 0.3, 7
 WORDS_KEPT = 200_000
 _REPEAT = 0x9E3779B1
 
@@ -75,10 +75,11 @@ def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(samples: list[tuple[str, int]], dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """Stochastic gradient descent on (text, label). Returns each bucket's weight in the logit of label 1, and the bias."""
+    """Stochastic gradient descent on (text, label): epochs passes, or more if that gives fewer than STEPS steps. Returns each bucket's weight in the logit of label 1, and the bias."""
     if not samples:
         return np.zeros(BUCKETS, np.float32), 0.0
     rng = np.random.default_rng(seed)
+    epochs = max(epochs, -(-STEPS // len(samples)))
     docs = [(*document_features(t), int(y)) for t, y in samples]
     vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
