@@ -6,7 +6,8 @@ document's own top n-grams, of how far each is from its rank there, ``TOP`` if i
 
 Profiles are counted over a sample of at most about ``SAMPLE_DOCS`` documents a language, chosen by
 hash; counting is distributed and only ``TOP`` rows a language reach the driver. Scoring reads each
-whole text, shuffles nothing, and holds a cache of words that is emptied when it is large.
+whole text and shuffles nothing: a text is an array of code points, and its n-grams are integers of
+21 bits a character, so that counting them is one sort.
 
 Defined results: null text, or text without a letter, gives ``und`` and score 0; so does a table in
 which no row has a language to learn; rows with a null lang are scored but not learned from; ties go to the
@@ -15,8 +16,6 @@ language that is first by name, ties in rank by a hash of the n-gram; other colu
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,110 +24,99 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from arborlake.llm.textops import remainder, table
-
-TOP, ORDERS, SAMPLE_DOCS, FOLD = 300, (1, 2, 3), 2500, 5
-WORDS_KEPT, GRAMS_KEPT = 200_000, 1 << 16
-
-
-def grams_of(word: str) -> list[str]:
-    """n-grams of the letters of a token, lower-cased, between pads; none if it has no letter."""
-    s = "".join(c for c in word.lower() if c.isalpha())
-    if not s:
-        return []
-    s = f"_{s}_"
-    return [s[i : i + n] for n in ORDERS for i in range(len(s) - n + 1) if n > 1 or s[i] != "_"]
-
-
-class Counting:
-    """Counts n-grams of texts; knows words it has met by the ids of their n-grams."""
-
-    def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.words: dict[str, np.ndarray] = {}
-        self.tie = np.zeros(0, np.int64)
-        self.names: list[str] = []
-
-    def _word(self, word: str) -> np.ndarray:
-        out = []
-        for g in grams_of(word):
-            k = self.ids.get(g)
-            if k is None:
-                k = self.ids[g] = len(self.names)
-                self.names.append(g)
-            out.append(k)
-        self.words[word] = a = np.array(out, np.int32)
-        return a
-
-    def counts(self, text: str) -> np.ndarray:
-        """By id. The caches are emptied first if they are large."""
-        if len(self.words) > WORDS_KEPT or len(self.names) > GRAMS_KEPT:
-            self.clear()
-        n = Counter(text.split())
-        known = self.words
-        arrays = [known[w] if w in known else self._word(w) for w in n]
-        if not arrays:
-            return np.zeros(len(self.names), np.int64)
-        times = np.repeat(np.fromiter(n.values(), np.float64, len(n)), [a.size for a in arrays])
-        return np.bincount(np.concatenate(arrays), times, minlength=len(self.names)).astype(np.int64)
-
-    def top(self, n: np.ndarray, k: int = TOP) -> np.ndarray:
-        """Ids of the k most frequent, most frequent first; ties by hash of the n-gram."""
-        if self.tie.size < len(self.names):
-            self.tie = np.concatenate([self.tie, np.array([zlib.crc32(g.encode()) for g in self.names[self.tie.size :]], np.int64)])
-        key = (n << 32) - self.tie[: n.size]
-        key[n == 0] = np.iinfo(np.int64).min
-        k = min(k, int((n > 0).sum()))
-        best = np.argpartition(key, -k)[-k:] if 0 < k < n.size else np.arange(n.size)
-        return best[np.argsort(-key[best])][:k]
-
-
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -> dict[str, list[str]]:
+from arborlake.llm.textops import remainder, small, table
+
+TOP, SAMPLE_DOCS, FOLD = 300, 2500, 5
+PAD, BITS = ord("_"), 21
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_LETTER = np.zeros(0, bool)
+
+
+def _letters() -> np.ndarray:
+    """For each code point, is it a letter?"""
+    global _LETTER
+    if not _LETTER.size:
+        _LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
+    return _LETTER
+
+
+def grams(text: str) -> np.ndarray:
+    """All n-grams of the words' letters: words in lower case, without what isn't a letter, padded by one _.
+
+    A run of pads is one, which ends a word and begins the next; an n-gram that has it inside is no word's."""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[c]
+    space = np.isin(c, _SPACES)
+    c = np.where(letter, c, PAD)[letter | space].astype(np.uint64)
+    c = np.concatenate([[PAD], c, [PAD]]).astype(np.uint64)
+    pad = c == PAD
+    c = c[np.append(True, ~(pad[1:] & pad[:-1]))]
+    if c.size < 3:
+        return np.zeros(0, np.uint64)
+    two = c[:-1] << np.uint64(BITS) | c[1:]
+    three = two[:-1] << np.uint64(BITS) | c[2:]
+    return np.concatenate([c[c != PAD], two, three[c[1:-1] != PAD]])
+
+
+_SPACES = np.array([x for x in range(0x3001) if chr(x).isspace()], np.uint32)
+
+
+def spell(gram: int) -> str:
+    """An n-gram's characters."""
+    out = ""
+    while gram:
+        out, gram = chr(gram & ((1 << BITS) - 1)) + out, gram >> BITS
+    return out
+
+
+def ranked(keys: np.ndarray, n: np.ndarray, k: int = TOP) -> np.ndarray:
+    """The k most frequent keys, most frequent first; ties by a hash of the key."""
+    order = (n.astype(np.int64) << np.int64(31)) - ((keys * _MIX) >> np.uint64(33)).astype(np.int64)
+    if k < keys.size:
+        best = np.argpartition(order, -k)[-k:]
+        keys, order = keys[best], order[best]
+    return keys[np.argsort(-order, kind="stable")]
+
+
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, top: int = TOP) -> dict[str, list[int]]:
     """docs: doc_id, text, lang. Profiles by language."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = known.groupBy("lang").agg(F.count("*").alias("n_lang"))
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.select("doc_id", "lang", "text").join(sizes, "lang").filter(draw * F.col("n_lang") < sample_docs)
+    sample = known.select("doc_id", "lang", "text").join(small(sizes), "lang").filter(draw * F.col("n_lang") < sample_docs)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lang, texts in b.groupby("lang").text:
-                n: Counter = Counter()
-                for w, c in Counter(w for t in texts for w in t.split()).items():
-                    for g in grams_of(w):
-                        n[g] += c
-                yield pd.DataFrame({"lang": lang, "gram": list(n), "n": list(n.values())})
-
-    totals = sample.select("lang", "text").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), F.crc32(F.col("gram").cast("binary")), "gram"))
-    out: dict[str, list[str]] = {}
+                key, n = np.unique(np.concatenate([grams(t) for t in texts]), return_counts=True)
+                yield pd.DataFrame({"lang": lang, "gram": key.astype(np.int64), "n": n})
+
+    totals = sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("gram"), "gram"))
+    out: dict[str, list[int]] = {}
     for lang, gram, _ in totals.select("lang", "gram", rank.alias("rank")).filter(F.col("rank") <= top).orderBy("lang", "rank").collect():
         out.setdefault(lang, []).append(gram)
     return out
 
 
 class Scorer:
-    def __init__(self, profiles: dict[str, list[str]], top: int = TOP):
-        self.langs, self.top, self.counting = sorted(profiles), top, Counting()
-        self.ranks = [{g: i for i, g in enumerate(profiles[x])} for x in self.langs]
-        self.table = np.zeros((len(self.langs), 0), np.int32)
+    def __init__(self, profiles: dict[str, list[int]], top: int = TOP):
+        self.langs, self.top = sorted(profiles), top
+        self.keys = np.array(sorted({g for p in profiles.values() for g in p}), np.uint64)
+        self.ranks = np.full((len(self.langs), self.keys.size + 1), -1, np.int64)  # the last column: no profile has it
+        for k, x in enumerate(self.langs):
+            self.ranks[k, np.searchsorted(self.keys, np.array(profiles[x], np.uint64))] = np.arange(len(profiles[x]))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        c = self.counting
-        n = c.counts(text or "")
-        best = c.top(n, self.top)
-        if not best.size or not self.langs:
+        key, n = np.unique(grams(text or ""), return_counts=True)
+        if not key.size or not self.langs:
             return "und", 0.0
-        if self.table.shape[1] > len(c.names):
-            self.table = np.zeros((len(self.langs), 0), np.int32)
-        if self.table.shape[1] < len(c.names):
-            new = c.names[self.table.shape[1] :]
-            self.table = np.hstack([self.table, np.array([[r.get(g, -1) for g in new] for r in self.ranks], np.int32)])
-        at = self.table[:, best]
-        far = np.where(at < 0, self.top, np.abs(at - np.arange(best.size))).sum(axis=1)
+        best = ranked(key, n, self.top)
+        at = np.searchsorted(self.keys, best)
+        at[at == self.keys.size] = 0
+        at = np.where(self.keys[at] == best, at, self.keys.size)
+        r = self.ranks[:, at]
+        far = np.where(r < 0, self.top, np.abs(r - np.arange(best.size))).sum(axis=1)
         k = int(far.argmin())
         return self.langs[k], 1.0 - float(far[k]) / (self.top * best.size)
 

@@ -46,10 +46,15 @@ def hex_sha256(col: Column) -> Column:
 BROADCAST_IDS = 2_000_000
 
 
+def small(df: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
+    """df to broadcast if it has at most bound rows, counted here; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= bound else df
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is in ids (one column, counted here). Few ids are broadcast, more are joined by a shuffle.
 
     Rows with a null doc_id share one fate."""
     ids = ids.select(F.col(ids.columns[0]).alias("_gone")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    ids = small(ids)
     return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
