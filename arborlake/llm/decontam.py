@@ -33,11 +33,12 @@ from arborlake.session import Scratch
 
 N, RARE, LEAST, SCORE, BROADCAST_SEEDS = 3, 0.5, 4, 0.5, 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+MARKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2000-\u206F\u3000-\u303F\uFF00-\uFF0F]+"
 
 
 def plain_words(text: Column) -> Column:
-    """Lower-case words without marks at their edges."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    """Lower-case words: runs without space, ASCII marks and the marks and spaces of the blocks that hold punctuation."""
+    return F.array_remove(F.split(F.lower(text), MARKS), "")
 
 
 def _grams(w: Column) -> Column:
@@ -64,8 +65,10 @@ def seeds(items: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     parts = items.select("item_id", F.posexplode("grams").alias("at", "gram"), "h").select("item_id", "at", "gram", F.slice("h", F.col("at") + 1, N).alias("h"))
     parts = scratch.save(parts, "parts")
     vocabulary = scratch.save(parts.select(F.explode("h").alias("w")).distinct(), "vocabulary")
-    total = docs.agg(F.sum(F.size("h"))).first()[0] or 0
-    counts = scratch.save(docs.select(F.explode("h").alias("w")).join(_small(vocabulary), "w", "left_semi").groupBy("w").agg(F.count("*").alias("c")), "counts")
+    # one pass: the words outside of the vocabulary are counted together, under null, for the total
+    every = docs.select(F.explode("h").alias("any")).join(_small(vocabulary), F.col("any") == F.col("w"), "left")
+    counts = scratch.save(every.groupBy("w").agg(F.count("*").alias("c")), "counts")
+    total = counts.agg(F.sum("c")).first()[0] or 0
     logs = parts.select("item_id", "at", "gram", F.explode("h").alias("w")).join(counts, "w", "left")
     share = F.log(F.coalesce("c", F.lit(1)) / F.lit(float(max(1, total))))
     expected = logs.groupBy("item_id", "at", "gram").agg((F.sum(share) + F.log(F.lit(float(max(1, total))))).alias("log_expected"))
