@@ -33,11 +33,11 @@ from arborlake.session import Scratch
 
 N, RARE, LEAST, SCORE, BROADCAST_SEEDS = 3, 0.5, 4, 0.5, 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-MARKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2000-\u206F\u3000-\u303F\uFF00-\uFF0F]+"
+MARKS = r"[^\p{L}\p{N}]+"
 
 
 def plain_words(text: Column) -> Column:
-    """Lower-case words: runs without space, ASCII marks and the marks and spaces of the blocks that hold punctuation."""
+    """Lower-case words: runs of letters and digits."""
     return F.array_remove(F.split(F.lower(text), MARKS), "")
 
 
