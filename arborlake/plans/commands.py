@@ -262,7 +262,7 @@ def fitness(s: Store, preset: str = "default", record: bool = False, now: int =
     v = {r.metric: r.value for r in m.collect()}
     wide = s.spark.createDataFrame([(v["avg_complexity"] or 0.0, v["dead_pct"], v["cycle_count"], v["test_ratio"], v["god_components"])], "avg_complexity double, dead_pct double, cycles double, test_ratio double, god double")
     if record:
-        row = s.spark.createDataFrame([(now, s.get("files").count(), s.get("symbols").count(), *v.values())], "timestamp long, file_count long, symbol_count long, " + ", ".join(f"{k} double" for k in v))
+        row = s.spark.createDataFrame([(now, now, s.get("files").count(), s.get("symbols").count(), *v.values())], "id long, timestamp long, file_count long, symbol_count long, " + ", ".join(f"{k} double" for k in v))
         try:
             old = s.get("metrics_history")
         except FileNotFoundError:
