@@ -6,11 +6,12 @@ where it doesn't occur there, the escape probability (method C: kinds seen / (co
 and the next shorter context is asked with the symbols already ruled out excluded, down to equal
 shares of what is left. A document's score is the sum of log10 over its bytes and an end mark.
 
-All n-grams of the learning documents are counted; partial counts are made where the texts are read
-and summed by one shuffle. The trie keeps an n-gram if it is at least one in ``RARE`` of all, so an
-order has at most ``RARE`` of them, whatever the corpus: that is the proven bound of what the
-executors hold. A trie's children are fewer in a longer context, so exclusion reduces to two numbers
-for each context, and a byte is scored by table look-ups over whole batches of text.
+All n-grams are counted, those of the learning documents as the model and all as what will be asked;
+partial counts are made where the texts are read and summed by one shuffle. Nothing is pruned: contexts
+and what follows them are written tables that grow with the corpus (a context has at most 256
+followers), and each distinct n-gram gets its probability once, by equi-joins with the contexts of each
+order. The probabilities of the most frequent n-grams, ``RARE`` at most, are broadcast; a text's other
+n-grams are joined. Which way one goes changes no result.
 
 Word counts are joined, not broadcast, except for words that are at least one in ``RARE_WORD`` of all
 (so at most that many).
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborlake.llm.textops import lower_ascii, remainder, table, text_of, words
@@ -35,7 +36,8 @@ from arborlake.session import Scratch
 ORDER, RARE, RARE_WORD, FOLD = 4, 1 << 20, 1 << 19, 10
 FIRST, LAST, SYMBOLS = 0xFE, 0xFF, 257  # bytes that UTF-8 never has mark the start and the end
 BATCH = 1 << 20
-_HASH = np.uint64(0x9E3779B97F4A7C15)
+KEY = ["id", "row"]
+_HASH, _BITS = np.uint64(0x9E3779B97F4A7C15), 8 * (ORDER + 1)
 
 
 def _grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +58,11 @@ def _grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray
     return key[at], np.append(0, np.cumsum(length)[:-1])
 
 
+def _low(gram: Column, k: int) -> Column:
+    """The last k bytes."""
+    return gram.bitwiseAND(F.lit((1 << 8 * k) - 1))
+
+
 def _batches(texts: Iterator[str]) -> Iterator[list[str]]:
     held, n = [], 0
     for t in texts:
@@ -69,7 +76,7 @@ def _batches(texts: Iterator[str]) -> Iterator[list[str]]:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """docs: text, not null. gram, n over all documents."""
+    """docs: text, not null, and the boolean column learn. gram, n over the documents to learn from, m over all."""
 
     def merged(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         k, inv = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
@@ -81,8 +88,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: list[tuple] = []
-        for texts in _batches(t for b in batches for t in b.text):
-            key = np.sort(_grams(texts)[0])
+        for held, texts in ((h, x) for b in batches for h in (0, 1) for x in _batches(iter(b.text[b.learn != h]))):
+            key = np.sort(_grams(texts)[0]) | np.uint64(held << _BITS)
             edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             found.append((key[edge], np.diff(np.append(edge, key.size))))
             if sum(k.size for k, _ in found[1:]) > 2 * BATCH:
@@ -93,24 +100,13 @@ def count_grams(docs: DataFrame) -> DataFrame:
         if found:
             yield from frames(*merged(found))
 
-    return docs.select("text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def prune(grams: DataFrame, order: int = ORDER, rare: int = RARE) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order k from 0, the keys of k + 1 bytes that are kept, in order, and their counts."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // rare))
-    out = []
-    for k in range(order + 1):
-        mask = (1 << 8 * (k + 1)) - 1
-        kept = grams.groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
-        kept = kept.sort_values("gram")
-        out.append((kept.gram.to_numpy(np.int64).astype(np.uint64), kept.n.to_numpy(np.int64)))
-    return out
+    found = docs.select("text", "learn").mapInPandas(run, "gram long, n long")
+    learnt = F.when(F.col("gram") < 1 << _BITS, F.col("n")).otherwise(0)
+    return found.groupBy(_low(F.col("gram"), ORDER + 1).alias("gram")).agg(F.sum(learnt).alias("n"), F.sum("n").alias("m"))
 
 
 class Trie:
-    """The pruned trie as arrays: of each order, its n-grams with counts, and its contexts."""
+    """The model in one process, for few n-grams: of each order, its n-grams with counts, and its contexts."""
 
     def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]):
         self.orders, self.order, self.grams, self.contexts = orders, len(orders) - 1, [], []
@@ -159,7 +155,7 @@ class Trie:
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """log10 probability of each text. The kept n-grams of the highest order are in a hash table."""
+        """log10 probability of each text. Those of the highest order are in a hash table."""
         if self.table is None:
             keys, n = self.grams[self.order]
             keys = keys[np.argsort(n, kind="stable")]  # of two in one slot the more frequent stays
@@ -180,27 +176,112 @@ class Trie:
         return np.add.reduceat(got, starts)
 
 
-def pretrain(docs: DataFrame, scratch: Scratch, order: int = ORDER, rare: int = RARE) -> Trie:
-    """docs: text, not null."""
+def _contexts(grams: DataFrame, *more: str) -> DataFrame:
+    """grams: gram, n. ctx and its kids: byte s, n. Few, as a byte has 256 values."""
+    return grams.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.collect_list(F.struct(_low(F.col("gram"), 1).alias("s"), "n", *more)).alias("kids"))
+
+
+def _counts(kids: Column) -> Column:
+    return F.aggregate(kids, F.lit(0).cast("long"), lambda t, x: t + x.n)
+
+
+def probabilities(grams: DataFrame, scratch: Scratch) -> DataFrame:
+    """grams: gram, n, m. gram, m, lp: log10 of the probability of the last byte after the others, for all grams, learnt or not."""
+    kids = F.filter("kids", lambda x: x.n > 0)
+    top = scratch.save(_contexts(grams, "m").select("ctx", "kids", kids.alias("known")).withColumn("t", _counts(F.col("known"))), "contexts")
+    each = top.select("ctx", "known", "t", F.size("known").alias("q"), F.explode("kids").alias("x")).withColumn("gram", F.shiftleft("ctx", 8).bitwiseOR(F.col("x.s")))
+    learnt = each.filter("x.n > 0").select("gram", "x.m", F.log10(F.col("x.n") / (F.col("t") + F.col("q"))).alias("lp"))
+
+    # a byte that its context doesn't know: escape, and ask the next shorter one without the symbols seen
+    escape = F.when(F.col("q") > 0, F.log10(F.col("q") / (F.col("t") + F.col("q")))).otherwise(0.0)
+    asked = each.filter("x.n = 0").select("gram", "x.m", escape.alias("lp"), F.transform("known", lambda x: x.s).alias("gone"), F.lit(False).alias("hit"))
+    lower = grams.filter("n > 0")
+    for k in range(ORDER - 1, -1, -1):
+        lower = scratch.save(lower.groupBy(_low(F.col("gram"), k + 1).alias("gram")).agg(F.sum("n").alias("n")), f"grams-{k}")
+        contexts = _contexts(lower)
+        contexts = F.broadcast(contexts) if k < 2 else contexts  # at most 256 rows
+        j = asked.withColumn("ctx", F.shiftright(_low(F.col("gram"), k + 1), 8)).join(contexts, "ctx", "left")
+        j = j.withColumn("left", F.filter(F.coalesce("kids", F.array().cast("array<struct<s:bigint,n:bigint>>")), lambda x: ~F.array_contains("gone", x.s)))
+        j = j.withColumn("t", _counts(F.col("left"))).withColumn("q", F.size("left"))
+        j = j.withColumn("n", F.get(F.filter("left", lambda x: x.s == _low(F.col("gram"), 1)), F.lit(0))["n"])
+        step = F.when(F.col("hit") | (F.col("q") == 0), 0.0).otherwise(F.log10(F.coalesce("n", "q") / (F.col("t") + F.col("q"))))
+        asked = j.select("gram", "m", (F.col("lp") + step).alias("lp"), F.concat("gone", F.transform("left", lambda x: x.s)).alias("gone"), (F.col("hit") | F.col("n").isNotNull()).alias("hit"))
+    rest = F.when(F.col("hit"), 0.0).otherwise(F.log10(F.greatest(F.lit(1), SYMBOLS - F.size("gone"))))
+    return scratch.save(learnt.unionByName(asked.select("gram", "m", (F.col("lp") - rest).alias("lp"))), "probabilities")
+
+
+def _least(p: DataFrame, most: int) -> int:
+    """The smallest count that at most so many n-grams have or exceed."""
+    total = p.agg(F.sum("m")).first()[0] or 0
+    top = -(-total // most) + 1  # fewer than most n-grams have this count or more
+    least = top
+    seen = 0
+    for m, n in sorted(p.groupBy(F.least("m", F.lit(top)).alias("m")).count().collect(), reverse=True):
+        seen += n
+        if seen > most:
+            break
+        least = m
+    return least
+
+
+class Frequent:
+    """Log-probabilities of the broadcast n-grams, in a hash table, and in order where two share a slot."""
+
+    def __init__(self, keys: np.ndarray, lp: np.ndarray):
+        self.keys, self.lp = keys, lp
+        bits = max(10, int(keys.size * 2).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.table, self.value = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << bits)
+        slot = (keys * _HASH) >> self.shift
+        self.table[slot] = keys
+        good = self.table[slot] == keys
+        self.value[slot[good]] = lp[good]
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Of each text: the sum over its n-grams that are here; the others; how often each occurs."""
+        key, starts = _grams(texts)
+        slot = (key * _HASH) >> self.shift
+        got = self.value[slot]
+        miss = np.flatnonzero(self.table[slot] != key)
+        at, found = Trie._find(self.keys, key[miss])
+        got[miss] = np.where(found, self.lp[at], 0.0) if self.keys.size else 0.0
+        miss = miss[~found]
+        doc = np.searchsorted(starts, miss, "right") - 1
+        pair, times = np.unique(key[miss] | doc.astype(np.uint64) << np.uint64(_BITS), return_counts=True)
+        cut = np.searchsorted(pair >> np.uint64(_BITS), np.arange(1, len(texts)))
+        gram = (pair & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+        return np.add.reduceat(got, starts), np.split(gram, cut), np.split(times, cut)
+
+
+def ppm_scores(docs: DataFrame, scratch: Scratch, keep: list[str], most: int = RARE) -> DataFrame:
+    """docs: id, row, text, not null, the boolean column learn, and the columns of keep. Those and score."""
     grams = scratch.save(count_grams(docs), "grams")
-    trie = Trie(prune(grams, order, rare))
-    scratch.drop("grams")
-    return trie
-
-
-def ppm_scores(docs: DataFrame, trie: Trie, keep: list[str]) -> DataFrame:
-    """docs: text, not null, and the columns of keep. Adds score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(trie.orders)
+    p = probabilities(grams, scratch)
+    least = _least(p, most)
+    frequent = p.filter(F.col("m") >= least).select("gram", "lp").toArrow()  # as columns; rows would fill the driver
+    keys, lp = frequent["gram"].to_numpy().astype(np.uint64), frequent["lp"].to_numpy()
+    order = np.argsort(keys)
+    shared = docs.sparkSession.sparkContext.broadcast((keys[order], lp[order]))
+    del frequent, keys, lp, order
     kinds = dict(docs.dtypes)
+    keep = [*KEY, *keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Trie(shared.value)
+        model = Frequent(*shared.value)
         for b in batches:
-            scores = [s for texts in _batches(iter(b.text)) for s in model.score(texts)]
-            yield b[keep].assign(score=scores)
+            at = 0
+            for texts in _batches(iter(b.text)):
+                score, gram, times = model(texts)
+                yield b[keep].iloc[at : at + len(texts)].assign(score=score, gram=gram, times=times)
+                at += len(texts)
 
-    return docs.select(*keep, "text").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", score double")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", score double, gram array<long>, times array<long>"
+    parts = scratch.save(docs.select(*keep, "text").mapInPandas(run, schema), "parts")
+    asked = parts.select(*KEY, F.posexplode(F.arrays_zip("gram", "times")).alias("at", "x")).select(*KEY, "at", "x.gram", "x.times")
+    rare = asked.join(p.filter(F.col("m") < least).select("gram", "lp"), "gram")
+    # rows that repeat id and text are summed together; each gets its share
+    rest = rare.groupBy(*KEY).agg((F.sum(F.col("lp") * F.col("times")) / F.sum((F.col("at") == 0).cast("long"))).alias("rest"))
+    return parts.join(rest, KEY, "left").select(*keep, (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"))
 
 
 def tokens(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -208,9 +289,6 @@ def tokens(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.explode(words(lower_ascii(F.col("text")))).alias("token"))
 
 
-KEY = ["id", "row"]
-
-
 def word_scores(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs: id, row, text and the boolean column learn. One row for each id and row: n_tokens, n_known, train_tokens, base_score."""
     counts = scratch.save(tokens(docs.filter("learn"), []).groupBy("token").agg(F.count("*").alias("c")), "words")
@@ -233,14 +311,13 @@ def word_scores(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return each.select(*KEY, F.expr("n div copies").alias("n_tokens"), F.expr("known div copies").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("sum") / n).alias("base_score"))
 
 
-def score_documents(docs: DataFrame, fold: int = FOLD) -> DataFrame:
-    """docs: doc_id, text. Learns from the rows whose crc32(doc_id) mod fold isn't 0 and scores all."""
+def score_documents(docs: DataFrame, fold: int = FOLD, most: int = RARE) -> DataFrame:
+    """docs: doc_id, text. Learns from the rows whose crc32(doc_id) mod fold isn't 0 and scores all. most: how many n-grams are broadcast."""
     scratch = Scratch(docs.sparkSession, "lm")
     held = remainder("doc_id", fold) == 0
     rows = docs.select("doc_id", text_of("text").alias("text"), held.alias("held_out"), (~held).alias("learn"))
     rows = rows.withColumn("row", F.xxhash64("text")).withColumn("id", F.coalesce("doc_id", F.lit(-(2**63))))
-    trie = pretrain(rows.filter("learn"), scratch)
-    ppm = ppm_scores(rows, trie, [*KEY, "doc_id", "held_out"])
+    ppm = ppm_scores(rows, scratch, ["doc_id", "held_out"], most)
     return ppm.join(word_scores(rows, scratch), KEY).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

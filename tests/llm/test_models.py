@@ -149,6 +149,26 @@ def test_language_model_scores(spark, docs):
         assert r.score == pytest.approx(plain.score(text[r.doc_id] or ""))
 
 
+def test_language_model_keeps_rare_ngrams(spark):
+    # far more n-grams than are broadcast, each but a few seen once
+    r = np.random.default_rng(3)
+    rows = [(i, "aaaa aaaa aaaa " + "".join(map(chr, r.integers(97, 123, 80)))) for i in range(60)] + [(7, "aaaa b"), (7, "aaaa b")]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), most=16).collect()
+    plain = brute.Ppm([t for i, t in rows if brute.remainder(i, lm.FOLD)], lm.ORDER)
+    assert any(x.held_out for x in got)
+    want = sorted((i, round(plain.score(t), 6)) for i, t in rows)
+    assert sorted((x.doc_id, round(x.score, 6)) for x in got) == want
+
+
+def test_language_model_of_more_than_a_million_bytes(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, "ab cd " * 20_000 + "".join(map(chr, r.integers(97, 123, 30)))) for i in range(1, 12)] + [(99, "q" * 5)]
+    got = {x.doc_id: x.score for x in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id > 9").collect()}
+    plain = brute.Ppm([t for i, t in rows if brute.remainder(i, lm.FOLD)], lm.ORDER)
+    assert sum(len(t) for i, t in rows if brute.remainder(i, lm.FOLD)) > 1 << 20
+    assert all(got[i] == pytest.approx(plain.score(t), rel=1e-7) for i, t in rows if i > 9)
+
+
 def test_language_model_of_odd_tables(spark, empty):
     assert lm.score_documents(empty).count() == 0
     held = next(i for i in range(100) if brute.remainder(i, 10) == 0)
