@@ -67,9 +67,11 @@ def nearest_homonym(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> Da
     """refs: ref, file_id, target_name. The symbol of that name in the same file, else folder, else exported, else first."""
     f = files.select(F.col("id").alias("file_id"), dirname("path").alias("dir"))
     s = symbols.join(f, "file_id").select(F.col("id").alias("target_id"), F.col("file_id").alias("t_file"), F.col("name").alias("target_name"), F.col("dir").alias("t_dir"), "is_exported")
-    j = refs.join(f, "file_id").join(s, "target_name")
-    order = [F.when(F.col("t_file") == F.col("file_id"), 0).otherwise(1), F.when(F.col("t_dir") == F.col("dir"), 0).otherwise(1), F.desc("is_exported"), F.asc("target_id")]
-    return first_per_key(j, ["ref"], order)
+    # refs of one file to one name have one answer; the best is a partial aggregate, so candidates aren't shuffled
+    j = refs.select("file_id", "target_name").distinct().join(f, "file_id").join(s, "target_name")
+    far = [(F.col("t_file") != F.col("file_id")).alias("a"), (F.col("t_dir") != F.col("dir")).alias("b"), (-F.col("is_exported")).alias("c"), "target_id"]
+    best = j.groupBy("file_id", "target_name").agg(F.min(F.struct(*far)).alias("x"))
+    return refs.join(best, ["file_id", "target_name"]).select("ref", "file_id", "target_name", "x.target_id")
 
 
 _TEMPLATE = r"(?s)<template[^>]*>(.*)</template>"

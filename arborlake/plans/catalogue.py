@@ -374,7 +374,7 @@ query("file_roles", "SELECT page_id, CASE WHEN regexp_matches(path, '(^|/)(test|
 )
 query("resolve_references", "WITH r AS (SELECT l_orderkey * 100 + l_linenumber AS ref, MIN(l_suppkey) AS file_id, MIN(l_partkey) AS target FROM lineitem WHERE l_orderkey < 2000 GROUP BY ALL), c AS (SELECT r.ref, s.id, row_number() OVER (PARTITION BY r.ref ORDER BY CASE WHEN s.file_id = r.file_id THEN 0 ELSE 1 END, CASE WHEN regexp_replace(f.path, '/[^/]*$', '') = regexp_replace(g.path, '/[^/]*$', '') THEN 0 ELSE 1 END, 1 - is_exported, s.id) AS k FROM r JOIN part p ON r.target = p_partkey JOIN symbols s ON s.name = p_name JOIN files f ON s.file_id = f.id JOIN files g ON r.file_id = g.id) SELECT ref, id AS target_id FROM c WHERE k = 1")(
     lambda m: resolve.nearest_homonym(
-        m.raw("lineitem").filter("l_orderkey < 2000").groupBy((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ref")).agg(F.min("l_suppkey").alias("file_id"), F.min("l_partkey").alias("p_partkey")).join(m.raw("part").select("p_partkey", F.col("p_name").alias("target_name")), "p_partkey").select("ref", "file_id", "target_name"),
+        m.raw("lineitem").groupBy((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ref")).agg(F.min("l_suppkey").alias("file_id"), F.min("l_partkey").alias("p_partkey")).join(m.raw("part").select("p_partkey", F.col("p_name").alias("target_name")), "p_partkey").select("ref", "file_id", "target_name"),
         m.symbols, m.files,
     ).select("ref", "target_id")
 )

@@ -42,3 +42,26 @@ def test_query_equals_sql(spark, db, name):
 def test_queries_without_sql_run(spark):
     for name in sorted(set(Q) - set(SQL)):
         assert Q[name](spark, SF).columns
+
+
+def test_references_of_all_orders_are_resolved(spark, tmp_path):
+    """Brute force over a few orders, with keys on both sides of 2000."""
+    table = lambda name, rows, schema: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    supplier = [(1, "a", 0, 1.0), (2, "b", 0, 1.0), (3, "c", 1, 1.0)]
+    part = [(k, "x" if k < 4 else "y", "B", "t", k) for k in range(1, 6)]
+    items = [(key, n, 1 + (key + n) % 5, 1 + (key * n) % 3) for key in (1, 1999, 2000, 5000) for n in (1, 2, 3)]
+    table("supplier", supplier, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+    table("nation", [(0, "n", 0), (1, "m", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    table("region", [(0, "r")], "r_regionkey int, r_name string")
+    table("part", part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    table("lineitem", items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    nation, name = {i: n for i, _, n, _ in supplier}, {i: n for i, n, *_ in part}
+    seen = {}
+    for _, _, p, s in items:
+        seen.setdefault(p, []).append(s)
+    file = {p: min(x, key=lambda s: (-x.count(s), s)) for p, x in seen.items()}
+    want = {}
+    for key, n, p, s in items:
+        found = [c for c in file if name[c] == name[p]]
+        want[key * 100 + n] = min(found, key=lambda c: (file[c] != s, nation[file[c]] != nation[s], c % 3 == 0, c))
+    assert {r.ref: r.target_id for r in Q["resolve_references"](spark, str(tmp_path)).collect()} == want
