@@ -340,12 +340,12 @@ def _pagerank_sql(rounds: int) -> str:
 
 
 query("pagerank", _pagerank_sql(12))(lambda m: graph.pagerank(m.graph, m.vertices, 0.85, 12).select("id", F.round("rank", 6).alias("rank")))
-query("betweenness")(lambda m: graph.betweenness(m.graph, m.vertices))
+query("betweenness")(lambda m: graph.betweenness(m.whole_graph, m.vertices))
 query("k_paths", "WITH RECURSIVE p AS (SELECT [1, dst] AS path, dst AS tip FROM graph WHERE src = 1 UNION ALL SELECT list_append(path, dst), dst FROM p JOIN graph ON src = tip WHERE NOT list_contains(path, dst) AND len(path) <= 5 AND tip <> 30) SELECT CAST(len(path) - 1 AS BIGINT) AS hops, CAST(len(path) - 1 AS DOUBLE) AS cost, array_to_string(path, '>') AS path FROM p WHERE tip = 30 ORDER BY hops, path LIMIT 3")(
     lambda m: graph.k_paths(m.graph.select("src", "dst"), 1, 30, 3, 5)
 )
-query("louvain")(lambda m: graph.louvain(m.graph, m.vertices))
-query("label_propagation")(lambda m: graph.label_propagation(m.graph, m.vertices))
+query("louvain")(lambda m: graph.louvain(m.whole_graph, m.vertices))
+query("label_propagation")(lambda m: graph.label_propagation(m.whole_graph, m.vertices))
 _NAT = "WITH c AS (SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS cluster_id FROM supplier)"
 _nat = lambda m: m.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("cluster_id"))
 query("cohesion", f"{_NAT} SELECT a.cluster_id, CAST(COUNT(*) FILTER (a.cluster_id = b.cluster_id) AS BIGINT) AS inside, COUNT(*) AS total, CAST(floor(COUNT(*) FILTER (a.cluster_id = b.cluster_id) * 100.0::DOUBLE / COUNT(*) + 0.5) AS BIGINT) AS cohesion FROM graph JOIN c a ON src = a.id JOIN c b ON dst = b.id GROUP BY 1")(lambda m: graph.cohesion(m.graph, _nat(m)))

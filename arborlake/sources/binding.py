@@ -115,13 +115,17 @@ class Model:
     def clusters(self) -> DataFrame:
         return self.raw("part").join(self.symbols.select(F.col("id").alias("p_partkey")), "p_partkey", "left_semi").select(F.col("p_partkey").alias("symbol_id"), F.expr("substring(p_brand, 7)").cast("long").alias("cluster_id"), F.col("p_brand").alias("cluster_label"))
 
+    @cached_property
+    def whole_graph(self) -> DataFrame:
+        """src, dst, weight: all successions of suppliers."""
+        return self._follows("l_suppkey").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
     @cached_property
     def graph(self) -> DataFrame:
-        """src, dst, weight: the heaviest successions of suppliers, two for each supplier."""
+        """The heaviest of whole_graph, two for each supplier: a cut, as its SQL has it."""
         from arborlake.operators.ranking import top_by_order
 
-        pairs = self._follows("l_suppkey").groupBy("src", "dst").agg(F.count("*").alias("weight"))
-        return top_by_order(pairs, [F.desc("weight"), F.asc("src"), F.asc("dst")], 2 * self.raw("supplier").count())
+        return top_by_order(self.whole_graph, [F.desc("weight"), F.asc("src"), F.asc("dst")], 2 * self.raw("supplier").count())
 
     @cached_property
     def vertices(self) -> DataFrame:

@@ -65,3 +65,26 @@ def test_references_of_all_orders_are_resolved(spark, tmp_path):
         found = [c for c in file if name[c] == name[p]]
         want[key * 100 + n] = min(found, key=lambda c: (file[c] != s, nation[file[c]] != nation[s], c % 3 == 0, c))
     assert {r.ref: r.target_id for r in Q["resolve_references"](spark, str(tmp_path)).collect()} == want
+
+
+def test_graph_queries_without_sql_see_every_succession(spark, tmp_path):
+    """More than two successions for each supplier; betweenness by counting shortest paths."""
+    import itertools
+
+    orders = [(1, 2, 3, 4, 1), (4, 3, 2, 1), (1, 3), (2, 4, 2), (5, 1, 5), (3, 5)]
+    items = [(k, n + 1, 1, s, 1.0, 1.0) for k, o in enumerate(orders) for n, s in enumerate(o)]
+    spark.createDataFrame([(k,) for k in range(1, 6)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = {e for o in orders for e in zip(o, o[1:])}
+    assert len(edges) > 2 * 5
+    want = dict.fromkeys(range(1, 6), 0.0)
+    for a, b in itertools.permutations(range(1, 6), 2):
+        paths = [(a, *p, b) for k in range(4) for p in itertools.permutations(set(range(1, 6)) - {a, b}, k) if all(e in edges for e in zip((a, *p), (*p, b)))]
+        short = [p for p in paths if len(p) == min(map(len, paths))]
+        for p in short:
+            for v in p[1:-1]:
+                want[v] += 1 / len(short)
+    got = {r.id: r.betweenness for r in Q["betweenness"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
+    for name in ("louvain", "label_propagation"):
+        assert Q[name](spark, str(tmp_path)).count() == 5
