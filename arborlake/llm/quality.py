@@ -21,6 +21,7 @@ import math
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,9 +35,15 @@ WORDS_KEPT = 200_000
 _REPEAT = 0x9E3779B1
 
 
-def word_features(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of the word and of its character 3- and 4-grams between pads."""
-    s = f"<{word[:64]}>" if len(word) <= 64 else f"<{word[:32]}{word[-32:]}>"
+LONG = 64
+
+
+def word_features(word: str, buckets: int = BUCKETS) -> list[int] | np.ndarray:
+    """Buckets of the word and of all its character 3- and 4-grams between pads; of a long word as an array, which takes 8 bytes each."""
+    s = f"<{word}>"
+    if len(word) > LONG:
+        parts = chain((b"w" + word.encode("utf-8", "replace"),), (s[i : i + n].encode("utf-8", "replace") for n in (3, 4) for i in range(len(s) - n + 1)))
+        return np.fromiter((zlib.crc32(x) % buckets for x in parts), np.int64)
     out = [zlib.crc32(b"w" + word.encode("utf-8", "replace")) % buckets]
     return out + [zlib.crc32(s[i : i + n].encode("utf-8", "replace")) % buckets for n in (3, 4) for i in range(len(s) - n + 1)]
 

@@ -32,6 +32,18 @@ def test_scorer_is_the_average_over_all_features():
         assert one(text) == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-3)
 
 
+def test_long_words_are_read_whole():
+    import zlib
+
+    word = "".join(chr(0x4E00 + k) for k in range(500))
+    s = f"<{word}>"
+    want = [zlib.crc32(b"w" + word.encode())] + [zlib.crc32(s[i : i + n].encode()) for n in (3, 4) for i in range(len(s) - n + 1)]
+    assert list(quality.word_features(word)) == [x % quality.BUCKETS for x in want]
+    weights = np.zeros(quality.BUCKETS, np.float32)
+    weights[zlib.crc32(word[250:253].encode()) % quality.BUCKETS] = 900
+    assert quality.Scorer(weights, 0.0)(word) > 0.6
+
+
 def test_quality_of_odd_tables(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, none)
