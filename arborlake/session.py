@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import arborlake
+
+# Functions of this package travel to the executors by value, so that no copy need be installed there.
+cloudpickle.register_pickle_by_value(arborlake)
+
 
 def session(app: str = "arborlake", cores: int | None = None, partitions: int | None = None) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster use the one spark-submit gives."""
@@ -27,25 +34,43 @@ def session(app: str = "arborlake", cores: int | None = None, partitions: int |
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where that is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: spark.checkpoint.dir, or the session's checkpoint folder.
+
+    Where neither is set, a local master gets a folder of its own; a cluster gets none, as its executors would each write to another disk."""
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if at:
         return at.rstrip("/")
-    own = getattr(spark.sparkContext, "_arborlake_dir", None)
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = getattr(sc, "_arborlake_dir", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="arborlake-")
-        spark.sparkContext._arborlake_dir = own
-        import atexit
-
+        sc._arborlake_dir = own
         atexit.register(shutil.rmtree, own, True)
     return "file://" + own
 
 
+def _clean_up(spark: SparkSession, at: str) -> None:
+    try:
+        _delete(spark, at)
+    except Exception:  # noqa: BLE001  the session may be gone already, and its folder with it
+        pass
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
-    """Tables written to the shared folder: lineage ends there, and a lost executor loses none of them."""
+    """Tables written to the shared folder: lineage ends there, and a lost executor loses none of them.
+
+    A result may read them until the session ends, and then they go. What is needed no longer is dropped before."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        atexit.register(_clean_up, spark, self.at)
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.at}/{table}"
@@ -53,6 +78,4 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, table: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{table}" if table else self.at)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.at}/{table}" if table else self.at)
