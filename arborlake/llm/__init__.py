@@ -1,8 +1 @@
 """Training-data operators. Nothing outside this subpackage imports it."""
-
-from pyspark import cloudpickle as _cloudpickle
-
-import arborlake as _root
-
-# Functions of this package travel to the executors by value, so that no copy need be installed there.
-_cloudpickle.register_pickle_by_value(_root)
