@@ -109,6 +109,9 @@ def test_alignment_is_smith_waterman():
     for _ in range(200):
         a, b = [r.choices(range(6), k=r.randint(0, 14)) for _ in range(2)]
         assert decontam.align(np.array(a, int), np.array(b, int)) == brute.smith_waterman(a, b)
+    pairs = [[r.choices(range(4), k=r.randint(0, 20)) for _ in range(2)] for _ in range(300)]
+    got = decontam.align_all(*[[np.array(p[k], np.int32) for p in pairs] for k in (0, 1)])
+    assert got.tolist() == [brute.smith_waterman(a, b) for a, b in pairs]
 
 
 def test_decontamination_finds_copies_edited_or_not(spark):
@@ -141,3 +144,29 @@ def test_decontamination_finds_copies_edited_or_not(spark):
     clean = decontam.keep_clean(docs, bench)
     assert {x.doc_id for x in clean.collect()} == {i for i, _ in rows} - {i for i, _ in want} | {900, 901} and clean.columns == docs.columns
     assert decontam.find_contaminated(docs.limit(0), bench).count() == 0 and decontam.find_contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_decontamination_by_blocks_and_by_whole_short_items(spark):
+    r = random.Random(4)
+    v = ["".join(r.choices("abcdefghijkl", k=r.randint(2, 6))) for _ in range(500)]
+    items = [(k, " ".join(r.choices(v, k=r.randint(3, 30)))) for k in range(20)] + [(50, "Yes."), (51, "not sure"), (None, "one two three four"), (52, "--")]
+    rows = [(k, f"{' '.join(r.choices(v, k=9))} {t} {' '.join(r.choices(v, k=9))} {t.upper()}") for k, t in items[:20]]
+    rows += [(60, "yes"), (61, "yes of course"), (62, " NOT, sure!"), (None, "one two three four"), (63, "One two -- three, four " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = {(x.doc_id, x.item_id): x.score for x in decontam.find_contaminated(docs, bench).collect()}
+    assert set(whole) == {(k, k) for k in range(20)} | {(60, 50), (62, 51), (None, None), (63, None)}
+    assert all(x == 1 for x in whole.values())
+    parts = decontam.find_contaminated(docs, bench, block_words=40)
+    assert {(x.doc_id, x.item_id): x.score for x in parts.collect()} == whole
+    assert len(list(decontam.blocks(bench, 40))) > 3
+
+
+def test_every_stretch_of_an_item_has_seeds_whatever_the_corpus():
+    block = decontam.Block([(1, " ".join(f"w{k % 40}" for k in range(90))), (2, "a b c")])
+    for scale in (1, 10**6):
+        counts = np.arange(len(block.vocabulary) + 1) * scale
+        hashes, item, place = block.seeds(counts)
+        assert (np.diff(hashes.astype(object)) >= 0).all()
+        assert all(((place[item == 0] // decontam.STRETCH) == k).sum() == decontam.LEAST for k in range(88 // decontam.STRETCH))
+        assert place[item == 1].tolist() == [0]
