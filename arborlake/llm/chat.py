@@ -1,8 +1,9 @@
 """Chat formatting with typed content parts.
 
 A message's content is an ordered list of typed parts: text, image, audio or document. A visitor
-flattens them into one string: text parts are escaped, the others become numbered placeholders, each
-recorded as an attachment (kind, reference, place, and the tokens it expands to). The template marks
+flattens them into one string: text parts are escaped, the others become placeholders numbered by turn and
+place among the turn's, as in ``<|image_3.1|>``, so that they are distinct in a conversation; each is
+recorded as an attachment (kind, name of the placeholder, reference, place, and the tokens it expands to). The template marks
 turns by ``<|im_start|>role``, a newline, the content, ``<|im_end|>`` and a newline. Any ``<``,
 backslashes, ``|`` in a text or a role gets one backslash more, so no marker or placeholder can occur
 in it, and taking that backslash away again gives the text back exactly.
@@ -12,7 +13,7 @@ a conversation of any length is formatted in parallel, and is read back as a str
 with incremental digests: no task holds a whole conversation.
 
 Defined results: null text is empty, a null role is the empty role, null parts are left out; a null
-conv_id is a conversation of its own; a null turn comes first; rows that tie on turn go by role, then
+conv_id is a conversation of its own; a null turn comes first and has no number; rows that tie on turn go by role, then
 escaped text, and repeated rows each count as a turn; a newline in a role is written ``<|nl|>``; an unknown part type fails with ValueError; other columns aren't read.
 """
 
@@ -32,7 +33,7 @@ from arborlake.llm.textops import table, text_of
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 PATCH, MERGE, AUDIO_RATE, PAGE_TOKENS = 14, 2, 25, 512
 PART = "type string, text string, ref string, width int, height int, seconds double, pages int"
-FORMATTED = "conv_id long, turn long, role string, formatted string, loss_from long, loss_to long, attachments array<struct<kind:string,ref:string,place:long,tokens:long>>"
+FORMATTED = "conv_id long, turn long, role string, formatted string, loss_from long, loss_to long, attachments array<struct<kind:string,name:string,ref:string,place:long,tokens:long>>"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 
@@ -47,10 +48,10 @@ def unescape(text: str) -> str:
 class PartVisitor:
     """Visits the parts of one message in order; out, attachments and tokens hold what it made."""
 
-    def __init__(self, first: int = 1):
+    def __init__(self, turn: int | str = ""):
         self.out: list[str] = []
         self.attachments: list[dict] = []
-        self.length, self.number = 0, first
+        self.length, self.turn = 0, turn
 
     def visit(self, part: dict) -> None:
         method = getattr(self, f"visit_{part.get('type')}", None)
@@ -63,9 +64,9 @@ class PartVisitor:
         self.length += len(s)
 
     def _attach(self, part: dict, kind: str, tokens: int) -> None:
-        self.attachments.append({"kind": kind, "ref": part.get("ref"), "place": self.length, "tokens": tokens})
-        self._put(f"<|{kind}_{self.number}|>")
-        self.number += 1
+        name = f"<|{kind}_{self.turn}.{len(self.attachments) + 1}|>"
+        self.attachments.append({"kind": kind, "name": name, "ref": part.get("ref"), "place": self.length, "tokens": tokens})
+        self._put(name)
 
     def visit_text(self, part: dict) -> None:
         self._put(escape(part.get("text") or ""))
@@ -81,9 +82,9 @@ class PartVisitor:
         self._attach(part, "document", (part.get("pages") or 1) * PAGE_TOKENS)
 
 
-def format_turn(role: str, parts: list[dict]) -> dict:
+def format_turn(role: str, parts: list[dict], turn: int | str = "") -> dict:
     """One turn: its string, the span under the loss mask (an assistant's content) and its attachments."""
-    v = PartVisitor()
+    v = PartVisitor(turn)
     for p in parts:
         if p is not None:
             v.visit(p)
@@ -92,9 +93,6 @@ def format_turn(role: str, parts: list[dict]) -> dict:
     return {"formatted": head + body + END + "\n", "loss_from": loss[0], "loss_to": loss[1], "attachments": [a | {"place": a["place"] + len(head)} for a in v.attachments]}
 
 
-
-
-
 def parse_turn(formatted: str) -> tuple[str, str]:
     """Role and content (unescaped; placeholders as they are) of one formatted turn."""
     m = re.fullmatch(r"<\|im_start\|>(.*?)<\|im_end\|>\n", formatted, re.S)
@@ -111,7 +109,7 @@ def format_conversations(messages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = [format_turn(r or "", [] if p is None else [x if isinstance(x, dict) or x is None else x.asDict() for x in p]) for r, p in zip(b.role, b.parts)]
+            done = [format_turn(r or "", [] if p is None else [x if isinstance(x, dict) or x is None else x.asDict() for x in p], "" if pd.isna(t) else int(t)) for r, p, t in zip(b.role, b.parts, b.turn)]
             yield pd.DataFrame({"conv_id": b.conv_id, "turn": b.turn, "role": b.role, **{k: [d[k] for d in done] for k in ("formatted", "loss_from", "loss_to", "attachments")}})
 
     return messages.select("conv_id", "turn", "role", "parts").mapInPandas(run, FORMATTED)

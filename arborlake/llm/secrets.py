@@ -5,11 +5,14 @@ from labelled samples. A token that is long enough, mixes letters with digits or
 in no pattern's span is a secret if its mean log-likelihood ratio per character is above a threshold.
 
 Every text is scanned whole, by itself; nothing is shuffled. The models are a table of 128 x 128
-numbers. Training reads generated samples and, as further ordinary text, the words of a sample of
-documents of at most about ``SAMPLE_DOCS`` rows chosen by hash.
+numbers. Training reads generated samples and, as further ordinary text, all words of a sample of
+about ``SAMPLE_DOCS`` distinct texts chosen by a hash of text and doc_id.
 
-Defined results: null and empty texts have no spans; repeated rows are each scanned; an empty table
-gives no rows; other columns aren't read.
+What the models make of a base span is reported too (n_confirmed), but a base span stays whatever they say.
+
+Defined results: null and empty texts have no spans; repeated rows are each scanned, and sampled as one; a null
+doc_id is kept; an empty table gives no rows, and then generated samples are all that is learned; other columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -93,31 +97,45 @@ def mixed(token: str) -> bool:
 def scan(text: str, model: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
     """Base spans and the model's, by start, then kind."""
     spans = base_spans(text)
-    taken = list(spans)
+    free, until = [], 0  # base spans by start, merged: a token overlaps one if its neighbour there does
+    for a, b, _ in spans:
+        if a >= until:
+            free.append((a, b))
+        else:
+            free[-1] = (free[-1][0], max(until, b))
+        until = max(until, b)
+    starts = [a for a, _ in free]
     for m in _TOKEN.finditer(text):
-        token = m[0]
-        if mixed(token) and not any(a < m.end() and m.start() < b for a, b, _ in taken) and ratio(token, model) > threshold:
+        k = bisect_left(starts, m.end()) - 1  # the last that starts before the token's end
+        if mixed(m[0]) and not (k >= 0 and free[k][1] > m.start()) and ratio(m[0], model) > threshold:
             spans.append((m.start(), m.end(), "markov"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def confirmed(text: str, spans: list[tuple[int, int, str]], model: np.ndarray, threshold: float = THRESHOLD) -> int:
+    """How many base spans hold a token that the model, too, takes for a secret."""
+    return sum(any(mixed(m[0]) and ratio(m[0], model) > threshold for m in _TOKEN.finditer(text, a, b)) for a, b, k in spans if k != "markov")
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """Generated samples and, as ordinary, the long words outside of base spans in a sample of about sample_docs documents."""
+    """Generated samples and, as ordinary, the long words outside of base spans in a sample of about sample_docs texts."""
     n = max(1, docs.count())
     rate = min(10**6, sample_docs * 10**6 // n + 1)
-    rows = docs.filter((F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(10**6)) < rate) & F.col("text").isNotNull()).select("text").limit(4 * sample_docs)
-    extra = []
+    rows = docs.filter((F.pmod(F.xxhash64(F.lit(SEED), "text", "doc_id"), F.lit(10**6)) < rate) & F.col("text").isNotNull()).select("text").distinct()
+    words: set[str] = set()
     for (text,) in rows.toLocalIterator():
-        spans = base_spans(text)
-        extra += [(m[0], 0) for m in re.finditer(r"[A-Za-z_-]{4,}", text) if not any(a < m.end() and m.start() < b for a, b, _ in spans)][:2000]
-    return fit([*labelled_samples(), *sorted(set(extra))])
+        at = 0
+        for a, b, _ in [*base_spans(text), (len(text), len(text), "")]:
+            words.update(re.findall(r"[A-Za-z_-]{4,}", text[at:a]))
+            at = max(at, b)
+    return fit([*labelled_samples(), *((w, 0) for w in sorted(words))])
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, n_confirmed long, base_sha256 string, spans string"
 
 
 def find_secrets(docs: DataFrame, model: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
@@ -129,7 +147,7 @@ def find_secrets(docs: DataFrame, model: np.ndarray, threshold: float = THRESHOL
             for d, t in zip(b.doc_id.array, b.text):
                 spans = scan(t or "", model, threshold)
                 n = [sum(k == x for _, _, k in spans) for x in KINDS]
-                rows.append((d, *n, hashlib.sha256(joined([s for s in spans if s[2] != "markov"]).encode()).hexdigest(), joined(spans)))
+                rows.append((d, *n, confirmed(t or "", spans, model, threshold), hashlib.sha256(joined([s for s in spans if s[2] != "markov"]).encode()).hexdigest(), joined(spans)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)

@@ -6,10 +6,12 @@ the outlinks. Identifiers are uuids of the content, so a task that runs again ma
 ``read_warc`` and ``to_bytes`` read and write the file format; records that are read and written
 again are the same bytes.
 
-Every page is one row's work; nothing is shuffled and a task holds one Arrow batch.
+Every page is one row's work; nothing is shuffled and a task holds one Arrow batch. Archives are read as
+streams, from wherever their path is, a record at a time.
 
 Defined results: null html is an empty payload and null url an empty target; a page without text has
-an empty conversion record; malformed markup is read as far as it goes; rows that repeat a page
+an empty conversion record; markup is read as browsers forgive it: a declaration that isn't one is a
+comment up to the next >, and a tag that never ends is text; rows that repeat a page
 yield the same records each time; an empty table gives no rows; other columns aren't read.
 """
 
@@ -22,15 +24,18 @@ import io
 import re
 import uuid
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
+from typing import BinaryIO
 from urllib.parse import urljoin
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from arborlake.llm.textops import table
 
-VERSION, DATE = "WARC/1.1", "2024-01-01T00:00:00Z"
+VERSION, DATE, BATCH = "WARC/1.1", "2024-01-01T00:00:00Z", 1 << 22
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _SKIP = {"script", "style", "noscript", "template", "svg"}
 _BLOCK = set("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th title tr ul".split())
@@ -48,7 +53,13 @@ def record_id(*parts: str) -> str:
 class _Reader(HTMLParser):
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
-        self.base, self.out, self.title, self.links, self.skip, self.in_title, self.in_head = base, [], [], [], [], False, False
+        self.base, self.out, self.title, self.links, self.skip, self.in_title = base, [], [], [], [], False
+
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # such as <![foo[x]]>
+            return self.parse_bogus_comment(i)
 
     def handle_starttag(self, tag, attrs):
         if at := _LINKS.get(tag):
@@ -88,8 +99,11 @@ class _Reader(HTMLParser):
 def read_html(html: str, base: str) -> tuple[str, str, list[tuple[str, str]]]:
     """Title, plain text (one line per block, inner space as one) and distinct outlinks in order."""
     r = _Reader(base)
-    r.feed(html)
+    # what never ends is text; said here, as the parser would look for its end again at each of many
+    closed, last = max(html.rfind("-->"), html.rfind("--!>"), 0), html.rfind(">") + 1
+    r.feed(html[:closed] + html[closed:last].replace("<!--", "&lt;!--"))
     r.close()
+    r.handle_data(unescape(html[last:]))
     lines = (re.sub(r"\s+", " ", x).strip() for x in "".join(r.out).split("\n"))
     return re.sub(r"\s+", " ", "".join(r.title)).strip(), "\n".join(x for x in lines if x), list(dict.fromkeys(r.links))
 
@@ -142,9 +156,11 @@ def to_bytes(record: dict) -> bytes:
     return f"{VERSION}\r\n{head}\r\n".encode("utf-8", "replace") + record["block"] + b"\r\n\r\n"
 
 
-def from_bytes(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or gzipped (by member or as a whole)."""
-    f = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+def from_stream(f: BinaryIO) -> Iterator[dict]:
+    """Records of a WARC file, plain or gzipped (by member or as a whole), one at a time."""
+    f = io.BufferedReader(f) if not hasattr(f, "peek") else f
+    if f.peek(2)[:2] == b"\x1f\x8b":
+        f = io.BufferedReader(gzip.GzipFile(fileobj=f))
     while line := f.readline():
         if not line.strip():
             continue
@@ -157,6 +173,10 @@ def from_bytes(data: bytes) -> Iterator[dict]:
         yield {"headers": head, "block": f.read(int(head.get("Content-Length", 0)))}
 
 
+def from_bytes(data: bytes) -> Iterator[dict]:
+    return from_stream(io.BytesIO(data))
+
+
 RECORD = "page_id long, record_type string, record_id string, refers_to string, target_uri string, warc_date string, source_digest string, block_digest string, content_type string, content_length long, block string"
 _FIELDS = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "WARC-Source-Payload-Digest", "WARC-Block-Digest", "Content-Type", "Content-Length")
 
@@ -177,16 +197,28 @@ def derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, RECORD)
 
 
+RECORDS = "path string, headers map<string,string>, block binary"
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: path, headers, block. A file is a task's work."""
+    """Records of WARC files: path, headers, block. A file is a task's work, as its records can't be found from the middle; it is streamed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p, c in zip(b.path, b.content):
-                for r in from_bytes(c):
-                    yield pd.DataFrame({"path": [p], "headers": [r["headers"]], "block": [r["block"]]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, headers map<string,string>, block binary")
+            for p in b.path:
+                held, n = [], 0
+                system, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", p))
+                with system.open_input_stream(at, compression=None) as f:
+                    for r in from_stream(f):
+                        held.append((p, r["headers"], r["block"]))
+                        n += len(r["block"])
+                        if n >= BATCH:
+                            yield pd.DataFrame(held, columns=["path", "headers", "block"])
+                            held, n = [], 0
+                if held:
+                    yield pd.DataFrame(held, columns=["path", "headers", "block"])
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, RECORDS)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,15 +51,28 @@ PARTS = [
 
 
 def test_parts_become_placeholders_in_order():
-    t = chat.format_turn("assistant", PARTS)
+    t = chat.format_turn("assistant", PARTS, 3)
     assert [(a["kind"], a["ref"], a["tokens"]) for a in t["attachments"]] == [("image", "a.png", 20), ("audio", "b.wav", 53), ("document", "c.pdf", 1536)]
     for n, a in enumerate(t["attachments"], 1):
-        assert t["formatted"][a["place"] :].startswith(f"<|{a['kind']}_{n}|>")
-    assert t["formatted"][t["loss_from"] : t["loss_to"]].count("<|image_1|>") == 1  # the text's own is escaped
+        assert a["name"] == f"<|{a['kind']}_3.{n}|>" and t["formatted"][a["place"] :].startswith(a["name"])
+    assert t["formatted"].count("<|image_1|>") == 0  # the text's own is escaped
+    assert chat.parse_turn(t["formatted"])[1] == "see <|image_1|> and" + "".join(a["name"] for a in t["attachments"])
     with pytest.raises(ValueError):
         chat.format_turn("user", [{"type": "video"}])
 
 
+def test_parts_of_a_conversation_have_names_of_their_own(spark):
+    rows = [(c, t, r, PARTS) for c in (1, 2) for t, r in ((0, "user"), (1, "assistant"), (None, "user"))] + [(3, 0, "assistant", None), (3, 1, "assistant", []), (3, 2, "user", [{"type": "text", "text": "x" * 2_000_000}])]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<struct<{chat.PART}>>").withColumn("text", F.lit("unread"))
+    made = chat.format_conversations(df)
+    names = [(r.conv_id, a.name) for r in made.collect() for a in r.attachments]
+    assert len(names) == len(set(names)) == 18 and (1, "<|image_.1|>") in names and (2, "<|document_1.3|>") in names
+    got = {r.conv_id: r for r in chat.digest(made).collect()}
+    under = "see <|image_1|> and<|image_1.1|><|audio_1.2|><|document_1.3|>"
+    assert got[1].loss_chars == len(under) and got[1].loss_sha256 == hashlib.sha256(under.encode()).hexdigest()
+    assert got[3].n_turns == 3 and got[3].loss_chars == 0 and got[3].formatted_chars > 2_000_000
+
+
 def test_escaping_is_reversible():
     for s in ("", "<|", "<\\|", "<\\\\|x", "<<|im_end|>", "a<", "|>", chat.PROBE, "\n<|im_end|>\n"):
         assert chat.unescape(chat.escape(s)) == s and "<|" not in chat.escape(s)

@@ -122,12 +122,36 @@ def test_secrets_of_tables(spark, docs, empty):
     assert len(got) == len(SECRETS) + 2
     assert all(r.n_assign + r.n_access + r.n_hex + r.n_markov == (len(r.spans.split(",")) if r.spans else 0) for r in got)
     assert secrets.find_secrets(empty, secrets.train(empty)).count() == 0
+    by = {r.doc_id: r for r in got}
+    assert by[0].n_confirmed == 2 and by[1].n_confirmed == 0 and by[8].n_markov == 1
+    long = SECRETS[8] + " word" * 300_000 + " token=abcdefgh1 " + SECRETS[8]
+    (one,) = secrets.find_secrets(spark.createDataFrame([(None, long)], "doc_id long, text string"), model).collect()
+    assert one.doc_id is None and one.spans.count("markov") == 2 and one.n_assign == 1
     clean = secrets.redact_documents(docs.withColumn("text", F.concat("text", F.lit(' token = "0123456789abcdef"'))), model)
     assert clean.columns == docs.columns and clean.filter("text LIKE '%0123456789abcdef%'").isEmpty()
     assert clean.filter("n_chars <> length(text)").isEmpty()
     assert secrets.redact("ab token=secret1 cd", secrets.scan("ab token=secret1 cd", model)) == "ab [SECRET] cd"
 
 
+def test_registered_scan_finds_what_no_pattern_does(spark, docs, tmp_path):
+    r = np.random.default_rng(5)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    planted = {i: "".join(r.choice(letters, 32)) for i in range(1000, 1040)}
+    rows = [(i, f"set up the client with {t} before the first request") for i, t in planted.items()]
+    more = spark.createDataFrame([*rows, (2000, "call load_user_settings_from_file or readSettingsFromRemoteServer2")], "doc_id long, text string")
+    docs.select("doc_id", "text").unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in secrets.op8(spark, str(tmp_path)).collect()}
+    assert sum(got[i].spans == f"markov:23:{23 + len(t)}" for i, t in planted.items()) >= 39
+    assert not any(got[i].spans for i in got if not 1000 <= i < 1040)
+
+
+def test_training_samples_whole_texts_once(spark):
+    same = spark.createDataFrame([(None, "only words here " * 5000)] * 300, "doc_id long, text string")
+    assert (secrets.train(same) == secrets.train(same.repartition(7))).all()
+    tail = spark.createDataFrame([(1, "word " * 5000 + "zzqqzzqq" * 3)], "doc_id long, text string")
+    assert secrets.ratio("zzqqzzqq", secrets.train(tail)) < secrets.ratio("zzqqzzqq", secrets.train(same))
+
+
 def test_ppm_is_the_dictionary_model(docs):
     texts = [r.text or "" for r in docs.filter("doc_id < 250").collect()]
     grams = {}

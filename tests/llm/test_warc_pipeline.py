@@ -1,5 +1,7 @@
 import gzip
 import os
+import random
+import time
 
 import brute
 import corpus_pipeline
@@ -28,18 +30,40 @@ def test_files_round_trip(spark, tmp_path):
     data = b"".join(map(warc.to_bytes, records))
     assert list(warc.from_bytes(data)) == records == list(warc.from_bytes(b"".join(gzip.compress(warc.to_bytes(r)) for r in records)))
     (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(warc.to_bytes(r)) for r in records))
     got = warc.read_warc(spark, str(tmp_path)).collect()
-    assert [{"headers": dict(r.headers), "block": bytes(r.block)} for r in got] == records
+    for name in ("a.warc", "b.warc.gz"):
+        assert [{"headers": dict(r.headers), "block": bytes(r.block)} for r in got if r.path.endswith(name)] == records
 
 
 def test_derivatives_of_odd_pages(spark):
-    rows = [(1, "http://a.example/", HTML), (2, None, None), (None, "::bad", "<<<>&#xFFFFFFF;<a href='http://[::1'>x"), (1, "http://a.example/", HTML), (3, "u", "")]
+    rows = [(1, "http://a.example/", HTML), (2, None, None), (None, "::bad", "<<<>&#xFFFFFFF;<a href='http://[::1'>x"), (1, "http://a.example/", HTML), (3, "u", ""), (4, "u", "<![foo[x]]>"), (5, "u", "<p>long " * 200_000)]
     got = warc.derivatives(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("block", F.lit(1))).collect()
     assert len(got) == 2 * len(rows) and {r.record_type for r in got} == {"metadata", "conversion"}
     assert len({r.record_id for r in got if r.page_id == 1}) == 2
     assert warc.derivatives(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+PIECES = ["<![foo[x]]>", "<![ >", "<!", "<!--", "-->", "<![CDATA[", "]]>", "<!DOCTYPE html>", "<a href='", "<a ", "</", "</a>", "<p>", "'", '"', ">", "<", "&#x", "&amp", "&#xFFFFFFF;", "<script>", "</script>", "<style>", "<title>", "</title>", "<?php", "word ", "\n", "\0", "<svg/>", "<template>", "é", "<![endif]>", "<!ELEMENT", "[", "]"]
+
+
+def test_any_markup_is_read():
+    r = random.Random(1)
+    for _ in range(5000):
+        warc.read_html("".join(r.choices(PIECES, k=r.randint(1, 25))), "http://h.example/")
+    assert warc.read_html("a<![foo[x]]>b<p>c", "")[1] == "ab\nc"
+    assert warc.read_html("a &lt; b <a href=", "")[1] == "a < b <a href="
+    assert warc.read_html("<!-- gone --><p>kept <!-- never ends <b>x</b> y", "")[1] == "kept <!-- never ends x y"
+
+
+def test_long_markup_takes_time_in_proportion():
+    for piece in ("<", "<!--", "<a ", "</", "<![", "&#x", "<a href='", "<p>x ", "<script>"):
+        for end in ("", ">", "-->"):
+            began = time.process_time()
+            warc.read_html(piece * 30_000 + end, "http://h.example/")
+            assert time.process_time() - began < 5, (piece, end)
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
