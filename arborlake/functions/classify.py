@@ -36,7 +36,7 @@ def role(path: Column | str, content: Column | None = None) -> Column:
     return (
         F.when(head.rlike(r"(?i)(do not edit|auto-?generated|@generated|generated by)"), "generated")
         .when(p.rlike(r"(^|/)(vendor|node_modules|third_party|bower_components|external)/"), "vendored")
-        .when(p.rlike(r"(^|/)(test|tests|__tests__|spec|specs)/"), "test")
+        .when(p.rlike(_TEST_FOLDER), "test")
         .when(b.rlike(_TEST_NAME), "test")
         .when(p.rlike(r"^(\.github/workflows|\.circleci|\.gitlab)/") | low.isin(".travis.yml", "jenkinsfile", ".gitlab-ci.yml", "azure-pipelines.yml"), "ci")
         .when(p.rlike(r"(^|/)(dist|build|out|target)/") | low.isin("makefile", "dockerfile", "cmakelists.txt", "build.gradle", "rakefile", "gulpfile.js", "webpack.config.js", "setup.py"), "build")
@@ -54,8 +54,13 @@ def role(path: Column | str, content: Column | None = None) -> Column:
     )
 
 
+_TEST_FOLDER = r"(^|/)(test|tests|__tests__|spec|specs)/"
+
+
 def is_test(path: Column | str) -> Column:
-    return role(path) == "test"
+    """By folder or name, whatever else a file may be."""
+    p = F.col(path) if isinstance(path, str) else path
+    return p.rlike(_TEST_FOLDER) | basename(p).rlike(_TEST_NAME)
 
 
 def is_low_risk(path: Column | str) -> Column:

@@ -6,6 +6,7 @@ stays short and a lost executor costs one round at most; rounds stop at a count
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,7 @@ from arborlake.functions.strings import round_half_up
 from arborlake.operators.ranking import first_per_key
 from arborlake.session import Scratch
 
-EDGE_COST = {"call": 1.0, "calls": 1.0, "import": 1.1, "imports": 1.1, "reference": 1.2, "references": 1.2}
+EDGE_COST = {"call": 1.0, "uses": 1.0, "inherits": 1.0, "implements": 1.0, "uses_trait": 1.0, "template": 1.0, "import": 1.1, "reference": 1.2}
 
 
 def simple(edges: DataFrame) -> DataFrame:
@@ -45,27 +46,29 @@ def reachable(edges: DataFrame, starts: DataFrame, most: int = 10) -> DataFrame:
     """id, depth of what a breadth-first search reaches from starts (id) within most steps, without the starts."""
     scratch = Scratch(edges.sparkSession, "bfs")
     seen = scratch.save(starts.select("id").distinct().withColumn("depth", F.lit(0)), "seen-0")
+    e = scratch.save(edges.select("src", "dst").distinct(), "edges")
     frontier, parts = seen.select("id"), [seen]
-    e = edges.select("src", "dst").distinct()
     for d in range(1, most + 1):
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.unionByName(p)
-        found = e.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(known, "id", "left_anti").withColumn("depth", F.lit(d))
+        if len(parts) > 16:  # a long search would read ever more small tables
+            parts = [scratch.save(_union(parts), f"so-far-{d}")]
+        found = e.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(_union(parts), "id", "left_anti").withColumn("depth", F.lit(d))
         found = scratch.save(found, f"seen-{d}")
         if found.isEmpty():
             break
         parts.append(found)
         frontier = found.select("id")
-    out = parts[0].limit(0)
+    return _union(parts).filter("depth > 0")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """a, b: b is reached from a by one step or more. Path doubling; for graphs whose closure is affordable."""
-    scratch = Scratch(edges.sparkSession, "closure")
+def _doubled(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b: b is reached from a by one step or more. Path doubling."""
     now = scratch.save(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "0")
     n, k = now.count(), 0
     while True:
@@ -79,17 +82,34 @@ def closure(edges: DataFrame) -> DataFrame:
         now, n = after, m
 
 
-def _fixpoint(scratch: Scratch, now: DataFrame, step, name: str, most: int = 1000) -> DataFrame:
-    """Repeats step until the table's checksum stays."""
+def closure(edges: DataFrame, scc: DataFrame | None = None) -> DataFrame:
+    """a, b: b is reached from a by one step or more. Between components by path doubling over the condensation, within one by its members; the pairs are the result, so its size is their number."""
+    scratch = Scratch(edges.sparkSession, "closure")
+    if scc is None:
+        ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+        scc = scratch.save(strong_components(edges, ends), "scc")
+    far = _doubled(condensation(edges, scc), scratch)
+    a, b = scc.select(F.col("id").alias("a"), F.col("scc_id").alias("sa")), scc.select(F.col("id").alias("b"), F.col("scc_id").alias("sb"))
+    across = far.select(F.col("a").alias("sa"), F.col("b").alias("sb")).join(a, "sa").join(b, "sb").select("a", "b")
+    several = scc.groupBy("scc_id").count().filter("count > 1").select("scc_id")
+    loops = edges.filter("src = dst").select(F.col("src").alias("id")).join(scc, "id").join(several, "scc_id", "left_anti").select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
+    inside = a.join(several, F.col("sa") == F.col("scc_id"), "left_semi").join(b, F.col("sa") == F.col("sb")).select("a", "b")
+    return across.unionByName(inside).unionByName(loops)
+
+
+def _fixpoint(scratch: Scratch, now: DataFrame, step, name: str) -> DataFrame:
+    """Repeats step until the table's checksum stays, however many rounds that takes. Of the rounds only the last is left."""
     mark = [F.count("*"), F.sum(F.xxhash64(*now.columns).cast("decimal(38,0)"))]
-    seen = None
-    for k in range(most):
-        after = scratch.save(step(now), f"{name}-{k + 1}")
+    seen, k = None, 0
+    while True:
+        k += 1
+        after = scratch.save(step(now), f"{name}-{k}")
+        if k > 1:
+            scratch.drop(f"{name}-{k - 1}")
         sign = after.agg(*mark).first()
         if sign == seen:
             return after
         now, seen = after, sign
-    return now
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -107,22 +127,27 @@ def connected_components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 #: Graphs of up to so many edges are one task's work: a loop of joins costs seconds a round, whatever its size.
-SMALL_EDGES = 200_000
+SMALL_EDGES = 1_000_000
+
+
+def _with_nodes(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """a, b: the edges but for loops, and each vertex as a loop. Without nulls, for which pandas would make ids floats."""
+    e = edges.filter("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    return e.unionByName(vertices.select(F.col("id").alias("a"), F.col("id").alias("b")))
 
 
 def _in_one_task(edges: DataFrame, vertices: DataFrame, solve, schema: str) -> DataFrame:
     """solve(nodes, successors) on a graph that the caller has found small."""
-    rows = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(vertices.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"))).withColumn("g", F.lit(1))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj: dict = {int(x): [] for x in sorted(pdf[pdf.b.isna()].a)}
-        for a, b in pdf[["a", "b"]].dropna().drop_duplicates().itertuples(index=False):
-            if a != b and int(a) in adj and int(b) in adj:
-                adj[int(a)].append(int(b))
+        adj: dict = {x: [] for x in sorted(pdf.a[pdf.a == pdf.b].tolist())}
+        for a, b in zip(pdf.a.tolist(), pdf.b.tolist()):
+            if a != b and a in adj and b in adj:
+                adj[a].append(b)
         return pd.DataFrame(solve(adj), columns=names, dtype="int64")
 
-    return rows.groupBy("g").applyInPandas(run, schema)
+    return _with_nodes(edges, vertices).withColumn("g", F.lit(1)).groupBy("g").applyInPandas(lambda pdf: run(pdf), schema)
 
 
 def _tarjan(adj: dict) -> list[tuple]:
@@ -291,7 +316,7 @@ def layer_violations(edges: DataFrame, layers_: DataFrame) -> DataFrame:
     top = layers_.agg(F.max("layer").alias("top"))
     j = edges.select("src", "dst").join(a, "src").join(b, "dst").filter("from_layer > to_layer").join(F.broadcast(top))
     d = F.col("from_layer") - F.col("to_layer")
-    return j.select("src", "dst", "from_layer", "to_layer", d.alias("distance"), F.round(d / F.col("top"), 6).alias("severity"))
+    return j.select("src", "dst", "from_layer", "to_layer", d.alias("distance"), round_half_up(d / F.greatest("top", F.lit(1)), 3).alias("severity"))
 
 
 def layer_sizes(layers_: DataFrame) -> DataFrame:
@@ -303,9 +328,14 @@ def architecture(layers_: DataFrame) -> DataFrame:
     return x.withColumn("arch_type", F.when(F.col("layers") >= 6, "well-layered").when(F.col("layers") >= 3, "moderate").otherwise("flat"))
 
 
-def propagation_cost(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Reachable ordered pairs over all pairs (4 decimals)."""
-    pairs = closure(edges).filter("a <> b").agg(F.count("*").alias("pairs"))
+def propagation_cost(edges: DataFrame, vertices: DataFrame, scc: DataFrame | None = None) -> DataFrame:
+    """Reachable ordered pairs over all pairs (4 decimals). Counted over the condensation by the sizes of components, so no pair of nodes is made."""
+    scratch = Scratch(edges.sparkSession, "cost")
+    scc = scratch.save(strong_components(edges, vertices), "scc") if scc is None else scc
+    size = scratch.save(scc.groupBy("scc_id").agg(F.count("*").alias("k")), "sizes")
+    far = _doubled(condensation(edges, scc), scratch)
+    across = far.join(size.select(F.col("scc_id").alias("a"), F.col("k").alias("ka")), "a").join(size.select(F.col("scc_id").alias("b"), F.col("k").alias("kb")), "b")
+    pairs = across.select((F.col("ka") * F.col("kb")).alias("p")).unionByName(size.select((F.col("k") * (F.col("k") - 1)).alias("p"))).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("pairs"))
     return pairs.join(F.broadcast(vertices.agg(F.count("*").alias("n")))).select("pairs", "n", round_half_up(F.when(F.col("n") > 1, F.col("pairs") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0), 4).alias("propagation_cost"))
 
 
@@ -323,21 +353,28 @@ def weakest_edges(edges: DataFrame, scc: DataFrame) -> DataFrame:
     return first_per_key(inside.join(out, ["scc_id", "src"]).join(into, ["scc_id", "dst"]), ["scc_id"], [F.desc("out_n"), F.desc("in_n"), F.asc("src"), F.asc("dst")])
 
 
-def pagerank(edges: DataFrame, vertices: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
-    """Power iteration with a fixed number of rounds; the mass of nodes without an edge out is spread evenly."""
+def pagerank(edges: DataFrame, vertices: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """Power iteration until the ranks change by less than tolerance a node on average; the mass of nodes without an edge out is spread evenly.
+
+    If so many rounds don't do, ranks are degrees over the highest degree."""
     scratch = Scratch(edges.sparkSession, "pagerank")
     e = edges.select("src", "dst").distinct()
     out = e.groupBy("src").agg(F.count("*").alias("k"))
     links = scratch.save(e.join(out, "src"), "links")
     n = vertices.count()
-    now = scratch.save(vertices.select("id", F.lit(1.0 / max(1, n)).alias("rank")).join(out.select(F.col("src").alias("id"), "k"), "id", "left"), "0")
-    for r in range(rounds):
-        lost = now.filter("k IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+    now = scratch.save(vertices.select("id", F.lit(1.0 / max(1, n)).alias("rank")).join(out.select(F.col("src").alias("id"), "k"), "id", "left").withColumn("moved", F.lit(1.0)), "0")
+    for r in range(rounds + 1):
+        lost, moved = now.agg(F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("rank"))), F.lit(0.0)), F.coalesce(F.sum("moved"), F.lit(0.0))).first()
+        if moved < n * tolerance or not n:
+            return now.select("id", "rank")
+        if r == rounds:
+            break
         into = links.join(now.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
-        fresh = now.select("id", "k").join(into, "id", "left").select("id", (F.lit((1 - alpha) / n + alpha * lost / n) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"), "k")
-        now = scratch.save(fresh, str(r + 1))
+        fresh = F.lit((1 - alpha) / n + alpha * lost / n) + alpha * F.coalesce("got", F.lit(0.0))
+        now = scratch.save(now.select("id", "k", F.col("rank").alias("before")).join(into, "id", "left").select("id", fresh.alias("rank"), "k", F.abs(fresh - F.col("before")).alias("moved")), str(r + 1))
         scratch.drop(str(r))
-    return now.select("id", "rank")
+    d = degrees(e, vertices).withColumn("d", F.col("in_degree") + F.col("out_degree"))
+    return d.join(F.broadcast(d.agg(F.greatest(F.max("d"), F.lit(1)).alias("top")))).select("id", (F.col("d") / F.col("top")).alias("rank"))
 
 
 #: Betweenness, communities and k paths need the adjacency in one place: they take graphs up to so many edges.
@@ -354,8 +391,15 @@ def _adjacency(edges: DataFrame) -> dict:
     return {k: sorted(v) for k, v in adj.items()}
 
 
-def betweenness(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Exact, unnormalised, directed, unweighted (Brandes): sources are spread over tasks, the adjacency is broadcast (size checked)."""
+def betweenness(edges: DataFrame, vertices: DataFrame, sources: int | None = None) -> DataFrame:
+    """Unnormalised, directed, unweighted (Brandes): sources are spread over tasks, the adjacency is broadcast (size checked).
+
+    Exact, or estimated from so many sources, drawn by hash and scaled up, if the caller says so."""
+    some, scale = vertices.select("id"), 1.0
+    if sources is not None:
+        n = some.count()
+        some = some.orderBy(F.xxhash64("id"), "id").limit(sources)
+        scale = max(1.0, n / max(1, sources))
     shared = edges.sparkSession.sparkContext.broadcast(_adjacency(edges))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -380,7 +424,8 @@ def betweenness(edges: DataFrame, vertices: DataFrame) -> DataFrame:
                         total[w] = total.get(w, 0.0) + delta[w]
         yield pd.DataFrame({"id": list(total), "b": list(total.values())}).astype({"id": "int64", "b": "float64"})
 
-    parts = vertices.select("id").mapInPandas(run, "id long, b double").groupBy("id").agg(F.sum("b").alias("b"))
+    spread = some.repartition(edges.sparkSession.sparkContext.defaultParallelism * 4)  # a source is work, not a row to be read
+    parts = spread.mapInPandas(run, "id long, b double").groupBy("id").agg((F.sum("b") * scale).alias("b"))
     return vertices.select("id").join(parts, "id", "left").select("id", F.round(F.coalesce("b", F.lit(0.0)), 6).alias("betweenness"))
 
 
@@ -390,14 +435,14 @@ def louvain(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     pairs = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     if pairs.count() > LOCAL_EDGES:
         raise ValueError(f"more than {LOCAL_EDGES} edges: use label_propagation")
-    rows = pairs.unionByName(vertices.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b")))
+    rows = _with_nodes(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), vertices)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(int(x) for x in pdf[pdf.b.isna()].a)
+        nodes = sorted(pdf.a[pdf.a == pdf.b].tolist())
         graph = {v: {} for v in nodes}
-        for a, b in pdf.dropna().itertuples(index=False):
-            a, b = int(a), int(b)
-            graph[a][b] = graph[b][a] = 1.0
+        for a, b in zip(pdf.a.tolist(), pdf.b.tolist()):
+            if a != b:
+                graph[a][b] = graph[b][a] = 1.0
         member = {v: v for v in nodes}
         while True:
             m2 = sum(sum(x.values()) for x in graph.values())
@@ -444,6 +489,7 @@ def label_propagation(edges: DataFrame, vertices: DataFrame, rounds: int = 10) -
         n = both.join(now.select(F.col("id").alias("dst"), "cluster_id"), "dst").groupBy("src", "cluster_id").agg(F.count("*").alias("n"))
         best = n.groupBy(F.col("src").alias("id")).agg(F.max(F.struct("n", (-F.col("cluster_id")).alias("c"))).alias("x")).select("id", (-F.col("x.c")).alias("c"))
         now = scratch.save(now.join(best, "id", "left").select("id", F.least("cluster_id", F.coalesce("c", "cluster_id")).alias("cluster_id")), str(r + 1))
+        scratch.drop(str(r))
     return now
 
 
@@ -495,37 +541,100 @@ def cluster_labels(clusters: DataFrame, symbols: DataFrame, files: DataFrame, me
     return j.select("cluster_id", "size", label.alias("label"))
 
 
-def k_paths(edges: DataFrame, source: int, target: int, k: int = 3, most: int = 6) -> DataFrame:
-    """Up to k simple paths of the fewest hops, then of the least cost, then in order of their ids. edges may have kind.
+def distances(edges: DataFrame, start: int, name: str = "depth") -> DataFrame:
+    """id and the fewest steps from start, however many; start itself is 0."""
+    one = edges.sparkSession.createDataFrame([(start,)], "id long")
+    return reachable(edges, one, 1 << 62).unionByName(one.withColumn("depth", F.lit(0))).withColumnRenamed("depth", name)
 
-    Paths grow by a join from the source, only through nodes from which the target is still within reach."""
-    scratch = Scratch(edges.sparkSession, "paths")
-    cost = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in EDGE_COST.items() for x in kv]), F.col("kind")), F.lit(2.0)) if "kind" in edges.columns else F.lit(1.0)
-    e = edges.select("src", "dst", cost.alias("cost")).groupBy("src", "dst").agg(F.min("cost").alias("cost"))
-    start = edges.sparkSession.createDataFrame([(target,)], "id long")
-    near = reachable(reverse(edges), start, most).unionByName(start.withColumn("depth", F.lit(0)))
-    e = scratch.save(e.join(near.select(F.col("id").alias("dst"), F.col("depth").alias("to_go")), "dst"), "edges")
-    now = edges.sparkSession.createDataFrame([([source], 0.0)], "path array<long>, cost double")
-    found = None
-    for d in range(1, most + 1):
-        step = now.withColumn("src", F.element_at("path", -1)).join(e.withColumnRenamed("cost", "c"), "src").filter(~F.array_contains("path", F.col("dst")) & (F.col("to_go") <= most - d))
-        now = scratch.save(step.select(F.concat("path", F.array("dst")).alias("path"), (F.col("cost") + F.col("c")).alias("cost")), str(d))
-        here = now.filter(F.element_at("path", -1) == target)
-        found = here if found is None else found.unionByName(here)
-        now = now.filter(F.element_at("path", -1) != target)
-        if found.count() >= k or now.isEmpty():
+
+def _shortest(adj: dict, path: tuple, target: int, without_edges: set, without_nodes: set, cost: float) -> tuple | None:
+    """The least (hops, cost, text, path) to target that begins with path, whose cost is given."""
+    heap, done = [(len(path) - 1, cost, ">".join(map(str, path)), path)], set()
+    while heap:
+        h, c, t, path = heapq.heappop(heap)
+        v = path[-1]
+        if v in done:
+            continue
+        done.add(v)
+        if v == target:
+            return h, c, t, path
+        for w, x in adj.get(v, ()):
+            if w not in done and w not in without_nodes and (v, w) not in without_edges:
+                heapq.heappush(heap, (h + 1, c + x, f"{t}>{w}", (*path, w)))
+    return None
+
+
+def _yen(adj: dict, source: int, target: int, k: int) -> list[tuple]:
+    """Up to k simple paths in order of hops, cost and text: Yen's spur paths."""
+    first = _shortest(adj, (source,), target, set(), set(), 0.0)
+    found, open_ = [first] if first else [], []
+    while found and len(found) < k:
+        path, cost = found[-1][3], 0.0
+        for j in range(len(path) - 1):
+            root = path[: j + 1]
+            gone = {(p[j], p[j + 1]) for *_, p in found if p[: j + 1] == root and len(p) > j + 1}
+            spur = _shortest(adj, root, target, gone, set(root[:-1]), cost)
+            if spur and spur not in open_ and spur not in found:
+                heapq.heappush(open_, spur)
+            cost += dict(adj[path[j]])[path[j + 1]]
+        if not open_:
+            break
+        found.append(heapq.heappop(open_))
+    return found
+
+
+def k_paths(edges: DataFrame, source: int, target: int, k: int = 3) -> DataFrame:
+    """Up to k simple paths of the fewest hops, then of the least cost, then in order of their ids, of any length. edges may have kind.
+
+    Searches from both ends give each edge the length of the shortest walk over it. Paths of up to so many hops lie in the edges of
+    that length or less; among these, few to begin with, Yen's method finds them, until k of that length are found or all edges count."""
+    spark, scratch = edges.sparkSession, Scratch(edges.sparkSession, "paths")
+    cost = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in EDGE_COST.items() for x in kv]), F.col("kind")), F.lit(1.0)) if "kind" in edges.columns else F.lit(1.0)
+    e = edges.filter("src <> dst").groupBy("src", "dst").agg(F.min(cost).alias("cost"))
+    there = distances(e, source, "gone").withColumnRenamed("id", "src")
+    back = distances(reverse(e), target, "to_go").withColumnRenamed("id", "dst")
+    e = scratch.save(e.join(there, "src").join(back, "dst").select("src", "dst", "cost", (F.col("gone") + 1 + F.col("to_go")).alias("walk")), "edges")
+    shortest, longest = e.agg(F.min("walk"), F.max("walk")).first()
+    found, reach = [], shortest
+    while shortest is not None and source != target:
+        some = e.filter(F.col("walk") <= reach).limit(LOCAL_EDGES + 1).collect()
+        if len(some) > LOCAL_EDGES:
+            raise ValueError(f"more than {LOCAL_EDGES} edges lie on paths of up to {reach} hops: ask for fewer paths")
+        adj: dict = {}
+        for r in some:
+            adj.setdefault(r.src, []).append((r.dst, r.cost))
+        found = _yen(adj, source, target, k)
+        if reach >= longest or len(found) == k and found[-1][0] <= reach:
             break
-    hops = (F.size("path") - 1).cast("long")
-    return found.select(hops.alias("hops"), F.round("cost", 6).alias("cost"), F.array_join("path", ">").alias("path")).orderBy("hops", "cost", "path").limit(k)
+        reach = shortest + 2 * max(1, reach - shortest)
+    return spark.createDataFrame([(h, round(c, 6), t) for h, c, t, _ in found], "hops long, cost double, path string").orderBy("hops", "cost", "path")
 
 
 def trace(paths: DataFrame, degree: DataFrame, hub: int = 50) -> DataFrame:
-    """Paths with a coupling class, their hubs, and a quality."""
+    """Paths with the coupling class that the shortest gives, their hubs, and a quality."""
     steps = paths.select("hops", "cost", "path", F.explode(F.split("path", ">")).alias("s")).withColumn("id", F.col("s").cast("long"))
     n = steps.join(degree.select("id", (F.col("in_degree") + F.col("out_degree")).alias("deg")), "id", "left").groupBy("hops", "cost", "path").agg(F.sum(F.when(F.col("deg") > hub, 1).otherwise(0)).alias("hubs"))
-    coupling = F.when(F.col("hops") <= 1, "strong").when(F.col("hops") == 2, "moderate").when(F.col("hops") <= 4, "structural").otherwise("weak")
-    weight = F.when(F.col("hops") <= 1, 1.0).when(F.col("hops") == 2, 0.7).when(F.col("hops") <= 4, 0.4).otherwise(0.2)
-    return n.withColumn("coupling", coupling).withColumn("quality", F.round(0.7 * weight + 0.3 / F.greatest(F.col("hops"), F.lit(1)) - 0.1 * F.col("hubs"), 6))
+    n = n.join(F.broadcast(paths.agg(F.min("hops").alias("shortest"))))
+    step = F.col("shortest")
+    coupling = F.when(step == 1, "strong").when(step == 2, "moderate").when(step <= 4, "structural").otherwise("weak")
+    weight = F.when(step == 1, 1.0).when(step == 2, 0.7).when(step <= 4, 0.4).otherwise(0.2)
+    quality = F.greatest(F.lit(0.0), 0.7 * weight + 0.3 / F.greatest(F.col("hops"), F.lit(1)) - 0.1 * F.col("hubs"))
+    return n.withColumn("coupling", coupling).withColumn("quality", round_half_up(quality, 3)).drop("shortest")
+
+
+def annotate_paths(paths: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """paths: path, ids joined by >. path, step, id, name, kind, file_path, line; what is no symbol is named by its number."""
+    steps = paths.select("path", F.posexplode(F.split("path", ">")).alias("step", "s")).withColumn("id", F.col("s").cast("long"))
+    s = symbols.join(files.select(F.col("id").alias("file_id"), F.col("path").alias("file_path")), "file_id").select("id", "name", "kind", "file_path", F.col("line_start").alias("line"))
+    unknown = F.lit("?")
+    return steps.join(s, "id", "left").select("path", "step", "id", F.coalesce("name", F.concat(F.lit("#"), "s")).alias("name"), F.coalesce("kind", unknown).alias("kind"), F.coalesce("file_path", unknown).alias("file_path"), "line")
+
+
+def file_graph(file_edges: DataFrame, files: DataFrame) -> DataFrame:
+    """src, dst, kind, weight: edges between known files, by how many symbol edges they stand for."""
+    ids = files.select("id")
+    e = file_edges.join(ids.withColumnRenamed("id", "source_file_id"), "source_file_id", "left_semi").join(ids.withColumnRenamed("id", "target_file_id"), "target_file_id", "left_semi")
+    return e.groupBy(F.col("source_file_id").alias("src"), F.col("target_file_id").alias("dst")).agg(F.min("kind").alias("kind"), F.sum("symbol_count").alias("weight"))
 
 
 def blast_radius(edges: DataFrame, starts: DataFrame, symbols: DataFrame, most: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborlake.functions.classify import is_test
 from arborlake.functions.strings import basename, case_class, contains_ci, depth, dirname, top_dir
 from arborlake.operators.ranking import first_per_key, top_by_order, top_per_key
 
@@ -201,13 +202,15 @@ def unreferenced_exports(symbols: DataFrame, edges: DataFrame, files: DataFrame)
     return with_path(symbols.filter((F.col("is_exported") == 1) & F.col("kind").isin(CALLABLE)).join(edges.select(F.col("target_id").alias("id")), "id", "left_anti"), files)
 
 
-NOT_DEAD = ["main", "__init__", "setup", "teardown", "index", "default", "constructor", "App"]
+NOT_DEAD, NOT_DEAD_PREFIXES = ["__init__", "__main__", "main", "setup", "teardown"], ["_", "test_", "Test"]
 
 
 def dead_exports(symbols: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Without entry-point names, dunder names and test files."""
-    d = unreferenced_exports(symbols, edges, files.filter((F.col("file_role") != "test") if "file_role" in files.columns else F.lit(True)))
-    return d.filter(~F.col("name").isin(NOT_DEAD) & ~F.col("name").startswith("test_") & ~F.col("name").startswith("__"))
+    """Without entry-point names, private and test names, and test files."""
+    d = unreferenced_exports(symbols, edges, files.filter(~is_test("path"))).filter(~F.col("name").isin(NOT_DEAD))
+    for p in NOT_DEAD_PREFIXES:
+        d = d.filter(~F.col("name").startswith(p))
+    return d
 
 
 def entry_points(symbols: DataFrame, edges: DataFrame, files: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -287,13 +290,28 @@ def conventions(symbols: DataFrame) -> DataFrame:
     return symbols.filter(~F.col("name").startswith("_")).groupBy("kind", case_class("name").alias("style")).agg(F.count("*").alias("n"))
 
 
-def convention_violations(symbols: DataFrame, least_share: float = 0.5) -> DataFrame:
-    """Symbols whose style isn't their kind's majority, where a majority of least_share exists."""
-    n = conventions(symbols)
-    total = n.groupBy("kind").agg(F.sum("n").alias("total"))
-    best = first_per_key(n, ["kind"], [F.desc("n"), F.asc("style")]).join(total, "kind").filter(F.col("n") >= F.col("total") * least_share).select("kind", F.col("style").alias("expected"))
-    s = symbols.filter(~F.col("name").startswith("_")).withColumn("style", case_class("name"))
-    return s.join(F.broadcast(best), "kind").filter("style <> expected").select("id", "name", "kind", "style", "expected")
+_STYLE = {"camelCase": r"^[a-z][a-zA-Z0-9]*$", "snake_case": r"^[a-z][a-z0-9]*(_[a-z0-9]+)*$", "PascalCase": r"^[A-Z][a-zA-Z0-9]*$", "UPPER_SNAKE": r"^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$"}
+
+
+def convention_violations(symbols: DataFrame) -> DataFrame:
+    """symbols: id, name, kind, is_exported, language. Names that break what their language does.
+
+    Functions and methods go by whichever of camelCase and snake_case fits more of their names (none on a tie); classes,
+    interfaces and structs are PascalCase and constants UPPER_SNAKE where that fits more than half. Names in PascalCase are
+    excused as functions, and constants that aren't exported always. Names that are empty or begin with _ or < don't count."""
+    name, group = F.col("name"), F.when(F.col("kind").isin("function", "method"), "func").when(F.col("kind").isin("class", "interface", "struct"), "type").when(F.col("kind") == "constant", "constant")
+    s = symbols.filter((name != "") & ~name.startswith("_") & ~name.startswith("<")).withColumn("language", F.coalesce("language", F.lit("unknown"))).withColumn("group", group).filter("group IS NOT NULL")
+    fits = {k: name.rlike(v) for k, v in _STYLE.items()}
+    n = s.groupBy("language", "group").agg(F.count("*").alias("all"), *[F.count_if(v).alias(k) for k, v in fits.items()])
+    func = F.when(F.col("camelCase") > F.col("snake_case"), "camelCase").when(F.col("snake_case") > F.col("camelCase"), "snake_case")
+    most = lambda c: F.when(F.col(c) > F.col("all") * 0.5, c)
+    rule = F.when(F.col("group") == "func", func).when(F.col("group") == "type", most("PascalCase")).otherwise(most("UPPER_SNAKE"))
+    n = n.select("language", "group", rule.alias("expected")).filter("expected IS NOT NULL")
+    breaks = F.lit(False)
+    for k, v in fits.items():
+        breaks = F.when(F.col("expected") == k, ~v).otherwise(breaks)
+    excused = F.when(F.col("group") == "func", fits["PascalCase"]).when(F.col("group") == "constant", F.col("is_exported") != 1).otherwise(F.lit(False))
+    return s.join(F.broadcast(n), ["language", "group"]).filter(breaks & ~excused).select("id", "name", "kind", "language", "expected", case_class("name").alias("actual"))
 
 
 def layer_top(layers: DataFrame, metrics: DataFrame, k: int = 5) -> DataFrame:

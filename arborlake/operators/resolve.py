@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arborlake.functions.strings import dirname, import_path
@@ -23,12 +22,21 @@ def matches_import(path: Column, imported: Column) -> Column:
 
 
 def closest_symbol(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """refs: ref, file_id, line. The innermost symbol that spans the line, else the file's first."""
+    """refs: file_id, line. file_id, line, symbol_id of each place: the innermost symbol that spans the line, else the file's first."""
     s = symbols.select("file_id", F.col("id").alias("symbol_id"), "line_start", "line_end")
-    j = refs.join(s, "file_id")
     inside = F.col("line").between(F.col("line_start"), F.col("line_end"))
-    order = [F.when(inside, 0).otherwise(1), F.when(inside, -F.col("line_start")).otherwise(F.col("line_start")), F.asc("symbol_id")]
-    return first_per_key(j, ["ref"], order).select("ref", "symbol_id")
+    order = F.struct(F.when(inside, 0).otherwise(1).alias("a"), F.when(inside, -F.col("line_start")).otherwise(F.col("line_start")).alias("b"), "symbol_id")
+    best = refs.select("file_id", "line").distinct().join(s, "file_id").groupBy("file_id", "line").agg(F.min(order).alias("x"))
+    return best.select("file_id", "line", F.col("x.symbol_id").alias("symbol_id"))
+
+
+def _sources(r: DataFrame, symbols: DataFrame) -> DataFrame:
+    """r with source_id: the symbol of source_name in ref_file (by qualified name first), else the closest; rows without one go."""
+    own = symbols.select(F.col("file_id").alias("ref_file"), "id", F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.col("qualified_name").alias("source_name")), F.struct(F.lit(1).alias("rank"), F.col("name").alias("source_name")))).alias("k"))
+    named = own.groupBy("ref_file", F.col("k.source_name").alias("source_name")).agg(F.min(F.struct("k.rank", "id")).alias("x")).select("ref_file", "source_name", F.col("x.id").alias("by_name"))
+    close = closest_symbol(r.select(F.col("ref_file").alias("file_id"), "line"), symbols).select(F.col("file_id").alias("ref_file"), "line", F.col("symbol_id").alias("by_line"))
+    found = r.join(named, ["ref_file", "source_name"], "left").join(close, ["ref_file", "line"], "left")
+    return found.withColumn("source_id", F.coalesce("by_name", "by_line")).filter("source_id IS NOT NULL").drop("by_name", "by_line")
 
 
 def resolve(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -36,31 +44,45 @@ def resolve(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
 
     The source is the symbol of that name in the file, else the closest; the target is the best candidate: a unique
     qualified match, then by name, then by name whatever its case; among those, a capitalised call prefers a class, then
-    the same file (same parent scope first), the same folder (exported first), the imported path, exported ones, the first.
-    Self references go; of equal edges the first stays."""
+    the same file (same parent scope first), the same folder, the imported path, exported ones, the first.
+    Self references go; of equal edges the first stays.
+
+    A name may have very many symbols and very many references, so the two never meet: of the symbols of each name, of each
+    name in each file, scope and folder, the best is found beforehand, and a reference looks each up by key. Only import
+    paths, each once for a name, are held against the symbols of that name."""
     f = files.select(F.col("id").alias("file_id"), "path")
     r = refs.join(f.select(F.col("file_id").alias("ref_file"), F.col("path").alias("source_file")), "source_file")
-    own = symbols.select(F.col("id").alias("s_id"), F.col("file_id").alias("ref_file"), F.col("name").alias("s_name"), F.col("qualified_name").alias("s_qual"))
-    named = r.join(own, "ref_file").filter((F.col("source_name") == F.col("s_name")) | (F.col("source_name") == F.col("s_qual")))
-    named = first_per_key(named, ["ref"], [F.when(F.col("source_name") == F.col("s_qual"), 0).otherwise(1), F.asc("s_id")]).select("ref", F.col("s_id").alias("by_name"))
-    close = closest_symbol(r.select("ref", F.col("ref_file").alias("file_id"), "line"), symbols).select("ref", F.col("symbol_id").alias("by_line"))
-    src = r.join(named, "ref", "left").join(close, "ref", "left").withColumn("source_id", F.coalesce("by_name", "by_line")).filter("source_id IS NOT NULL").drop("by_name", "by_line")
-    src = src.join(symbols.select(F.col("id").alias("source_id"), scope("qualified_name").alias("source_scope")), "source_id")
-
-    c = symbols.join(f, "file_id").select(F.col("id").alias("target_id"), F.col("file_id").alias("t_file"), F.col("name").alias("t_name"), F.col("qualified_name").alias("t_qual"), F.col("kind").alias("t_kind"), F.col("is_exported").alias("t_exp"), F.col("path").alias("t_path"))
-    keys = c.select("*", F.explode(F.array_distinct(F.array(F.struct(F.lit(1).alias("tier"), F.col("t_qual").alias("key")), F.struct(F.lit(2).alias("tier"), F.col("t_name").alias("key")), F.struct(F.lit(3).alias("tier"), F.lower("t_name").alias("key"))))).alias("k")).select("*", "k.tier", "k.key").drop("k")
-    asks = src.select("*", F.explode(F.array(F.struct(F.lit(1).alias("tier"), F.col("target_name").alias("key")), F.struct(F.lit(2).alias("tier"), F.col("target_name").alias("key")), F.struct(F.lit(3).alias("tier"), F.lower("target_name").alias("key")))).alias("k")).select("*", "k.tier", "k.key").drop("k")
-    j = asks.join(keys, ["tier", "key"])
-    same_file, same_dir = F.col("t_file") == F.col("ref_file"), dirname("t_path") == dirname("source_file")
+    src = _sources(r, symbols).join(symbols.select(F.col("id").alias("source_id"), scope("qualified_name").alias("source_scope")), "source_id")
     capital = (F.col("kind") == "call") & F.col("target_name").rlike("^[A-Z]")
-    is_class = F.col("t_kind").isin("class", "struct", "interface")
-    zero = lambda cond: F.when(cond, 0).otherwise(1)
-    order = [
-        F.asc("tier"), zero(capital & is_class), zero(same_file), zero(same_file & (F.col("source_scope") != "") & (scope("t_qual") == F.col("source_scope"))), zero(same_dir),
-        zero(F.coalesce(matches_import(F.col("t_path"), F.coalesce("import_path", F.lit(""))), F.lit(False))), F.desc("t_exp"), F.asc("target_id"),
-    ]
-    best = j.withColumn("_rn", F.row_number().over(W.partitionBy("ref").orderBy(*order))).filter("_rn = 1 AND source_id <> target_id")
-    return first_per_key(best, ["source_id", "target_id", "kind"], [F.asc("ref")]).select("source_id", "target_id", "kind", "line")
+    src = src.withColumns({"capital": capital, "source_dir": dirname("source_file"), "import_path": F.coalesce("import_path", F.lit(""))})
+
+    names = F.array(*[F.struct(F.lit(tier).alias("tier"), key.alias("key")) for tier, key in ((1, F.col("qualified_name")), (2, F.col("name")), (3, F.lower("name")))])
+    t = symbols.join(f, "file_id").select("id", "is_exported", F.col("kind").isin("class", "struct", "interface").alias("type"), F.col("file_id").alias("t_file"), F.col("path").alias("t_path"), dirname("path").alias("t_dir"), scope("qualified_name").alias("t_scope"), F.explode(names).alias("k"))
+    t = t.select("*", "k.tier", "k.key").drop("k")
+    rank = F.struct((-F.col("is_exported")).alias("e"), "id")
+
+    def best(rows: DataFrame, level: str, *keys: str) -> DataFrame:
+        return rows.groupBy("tier", "key", *keys).agg(F.min(F.when(F.col("type"), rank)).alias(f"{level}_type"), F.min(rank).alias(f"{level}_any"))
+
+    every = best(t, "every")
+    for tier, key in ((1, F.col("target_name")), (2, F.col("target_name")), (3, F.lower("target_name"))):
+        there = every.filter(F.col("tier") == tier).select(F.col("key").alias(f"key_{tier}"), F.lit(True).alias(f"in_{tier}"))
+        src = src.join(there, key == F.col(f"key_{tier}"), "left")
+    src = src.withColumn("tier", F.when(F.col("in_1"), 1).when(F.col("in_2"), 2).when(F.col("in_3"), 3)).withColumn("key", F.coalesce("key_1", "key_2", "key_3")).filter("tier IS NOT NULL").drop(*[f"{c}_{k}" for c in ("key", "in") for k in (1, 2, 3)])
+
+    named = {"t_file": "ref_file", "t_scope": "source_scope", "t_dir": "source_dir", "import_path": "import_path"}
+    asked = src.filter("import_path <> ''").select("tier", "key", "import_path").distinct()
+    imported = t.join(asked, ["tier", "key"]).filter(matches_import(F.col("t_path"), F.col("import_path")))
+    levels = [("scope", t.filter("t_scope <> ''"), ["t_file", "t_scope"]), ("file", t, ["t_file"]), ("near", imported, ["import_path", "t_dir"]), ("dir", t, ["t_dir"]), ("imported", imported, ["import_path"]), ("every", t, [])]
+    for level, rows, keys in levels:
+        found = best(rows, level, *keys)
+        for k in keys:
+            found = found.withColumnRenamed(k, named[k])
+        src = src.join(found, ["tier", "key", *[named[k] for k in keys]], "left")
+    types, any_ = ([F.col(f"{level}_{which}") for level, *_ in levels] for which in ("type", "any"))
+    chosen = F.coalesce(F.when(F.col("capital"), F.coalesce(*types)), *any_)
+    found = src.withColumn("target_id", chosen["id"]).filter("source_id <> target_id")
+    return first_per_key(found, ["source_id", "target_id", "kind"], [F.asc("line"), F.asc("ref")]).select("source_id", "target_id", "kind", "line")
 
 
 def nearest_homonym(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:

@@ -122,8 +122,8 @@ query("complexity_by_symbol", f"SELECT {SYM}, cognitive_complexity FROM symbol_m
 query("coupling", "SELECT file_id_a, file_id_b, a.path AS path_a, b.path AS path_b, cochange_count, CASE WHEN cochange_count > 10 THEN 'tight' WHEN cochange_count > 5 THEN 'moderate' ELSE 'loose' END AS class FROM git_cochange JOIN files a ON file_id_a = a.id JOIN files b ON file_id_b = b.id WHERE cochange_count >= 2 ORDER BY cochange_count DESC, file_id_a, file_id_b LIMIT 50")(
     lambda m: temporal.coupling(m.cochange, m.files, 2, 50)
 )
-query("coverage_gaps", "WITH c AS (SELECT s.id, s.name, s.kind, s.file_id, COALESCE(pagerank, 0) AS pagerank, CAST(COALESCE(in_degree, 0) AS DOUBLE) AS in_degree, COALESCE(cognitive_complexity, 0) AS cognitive_complexity FROM symbols s LEFT JOIN graph_metrics g ON g.symbol_id = s.id LEFT JOIN symbol_metrics m ON m.symbol_id = s.id WHERE is_exported = 1 ORDER BY pagerank DESC, s.id LIMIT 500) SELECT id, name, floor(pagerank * 1e4 * GREATEST(cognitive_complexity, 1) * GREATEST(in_degree, 1) * 0.001::DOUBLE * 1000 + 0.5) / 1000 AS score FROM c WHERE id NOT IN (SELECT target_id FROM edges e JOIN symbols t ON e.source_id = t.id JOIN files f ON t.file_id = f.id WHERE f.file_role = 'test')")(
-    lambda m: scoring.coverage_gaps(m.symbols, m.graph_metrics, m.symbol_metrics, m.edges, m.files).select("id", "name", "score")
+query("coverage_gaps", "WITH c AS (SELECT s.id, s.name, s.kind, f.path AS file_path, COALESCE(pagerank, 0) AS pagerank, CAST(COALESCE(in_degree, 0) AS DOUBLE) AS in_degree, COALESCE(cognitive_complexity, 0) AS cognitive_complexity FROM symbols s JOIN files f ON s.file_id = f.id LEFT JOIN graph_metrics g ON g.symbol_id = s.id LEFT JOIN symbol_metrics m ON m.symbol_id = s.id WHERE is_exported = 1 AND s.kind IN ('function', 'class', 'method', 'interface') ORDER BY pagerank DESC, s.id LIMIT 500) SELECT id, name, kind, file_path, in_degree, cognitive_complexity, floor(pagerank * 10000 * GREATEST(cognitive_complexity, 1) * GREATEST(in_degree, 1) * 0.001::DOUBLE + 0.5) / 1000 AS score FROM c WHERE NOT regexp_matches(file_path, '(^|/)(test|tests|__tests__|spec|specs)/|_test[.]py$') AND id NOT IN (SELECT target_id FROM edges e JOIN symbols t ON e.source_id = t.id JOIN files f ON t.file_id = f.id WHERE e.kind = 'inherits' AND (f.path ILIKE '%test%' OR f.path ILIKE '%spec%'))")(
+    lambda m: scoring.coverage_gaps(m.symbols, m.graph_metrics, m.symbol_metrics, m.edges.filter("kind = 'inherits'"), m.files).drop("file_id", "pagerank")
 )
 query("used_symbols", "SELECT b.file_id, string_agg(DISTINCT b.name, ', ' ORDER BY b.name) AS names FROM edges e JOIN symbols a ON e.source_id = a.id JOIN symbols b ON e.target_id = b.id WHERE a.file_id = 7 AND b.file_id <> 7 GROUP BY b.file_id")(lambda m: relational.used_symbols(m.edges, m.symbols, FILE))
 query("fan", "SELECT s.id, s.name, in_degree, out_degree, concat_ws(', ', CASE WHEN out_degree > 15 THEN 'God-object' END, CASE WHEN in_degree > 20 THEN 'High-impact' END, CASE WHEN in_degree > 10 AND out_degree > 10 THEN 'Hub' END) AS flags FROM symbols s JOIN graph_metrics g ON g.symbol_id = s.id WHERE in_degree + out_degree >= 1 ORDER BY in_degree + out_degree DESC, s.id LIMIT 20")(
@@ -132,7 +132,9 @@ query("fan", "SELECT s.id, s.name, in_degree, out_degree, concat_ws(', ', CASE W
 query("symbol_grep", f"SELECT {SYM} FROM symbols s JOIN files f ON s.file_id = f.id WHERE (s.name ILIKE '%ring%' OR qualified_name ILIKE '%ring%' OR signature ILIKE '%ring%') AND s.kind = 'class' ORDER BY f.path, line_start, s.id LIMIT 200")(
     lambda m: sym(relational.grep_symbols(m.symbols, m.files, NEEDLE, 200, [F.col("kind") == "class"]))
 )
-query("caller_callee_counts", "SELECT s.id, (SELECT COUNT(*) FROM edges WHERE target_id = s.id) AS callers, (SELECT COUNT(*) FROM edges WHERE source_id = s.id) AS callees FROM symbols s WHERE s.id < 300")(lambda m: relational.edge_counts(m.edges, m.symbols.filter("id < 300")))
+query("caller_callee_counts", "SELECT s.id, COALESCE(i, 0) AS callers, COALESCE(o, 0) AS callees FROM symbols s LEFT JOIN (SELECT target_id, COUNT(*) AS i FROM edges GROUP BY 1) ON target_id = s.id LEFT JOIN (SELECT source_id, COUNT(*) AS o FROM edges GROUP BY 1) ON source_id = s.id")(
+    lambda m: relational.edge_counts(m.edges, m.symbols)
+)
 query("index_summary", "SELECT (SELECT COUNT(*) FROM files) AS files, (SELECT COUNT(*) FROM symbols) AS symbols, (SELECT COUNT(*) FROM edges) AS edges, (SELECT COUNT(DISTINCT file_id) FROM symbols) AS files_with_symbols")(
     lambda m: m.files.agg(F.count("*").alias("files")).join(m.symbols.agg(F.count("*").alias("symbols"), F.count_distinct("file_id").alias("files_with_symbols"))).join(m.edges.agg(F.count("*").alias("edges")))
 )
@@ -143,8 +145,8 @@ query("changed_symbols", "SELECT s.id, s.name, COALESCE(in_degree, 0) AS in_degr
     lambda m: m.symbols.filter("file_id IN (7, 8)").join(m.graph_metrics.select(F.col("symbol_id").alias("id"), "in_degree"), "id", "left").join(m.symbol_metrics.select(F.col("symbol_id").alias("id"), "cognitive_complexity"), "id", "left")
     .select("id", "name", F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.coalesce("cognitive_complexity", F.lit(0.0)).alias("cc"))
 )
-query("breaking", "SELECT t.id, t.name, COUNT(DISTINCT source_id) AS consumers, CASE WHEN COUNT(DISTINCT source_id) > 10 THEN 'BREAKING' WHEN COUNT(DISTINCT source_id) > 3 THEN 'WARNING' ELSE 'INFO' END AS severity FROM symbols t JOIN edges ON target_id = t.id JOIN symbols s ON source_id = s.id WHERE t.file_id IN (7, 8) AND t.is_exported = 1 AND s.file_id <> t.file_id GROUP BY t.id, t.name")(
-    lambda m: scoring.breaking(m.symbols, m.edges, ids(m, "file_id", 7, 8)).select("id", "name", "consumers", "severity")
+query("breaking", "SELECT t.id, t.name, t.kind, COUNT(*) AS consumers, CASE WHEN COUNT(*) > 10 THEN 'BREAKING' WHEN COUNT(*) > 3 THEN 'WARNING' ELSE 'INFO' END AS severity FROM symbols t JOIN edges e ON e.target_id = t.id WHERE t.file_id IN (7, 8) AND t.is_exported = 1 GROUP BY t.id, t.name, t.kind")(
+    lambda m: scoring.breaking(m.symbols, m.edges, ids(m, "file_id", 7, 8)).drop("file_id")
 )
 query("similar_symbols", f"SELECT {SYM} FROM symbols s JOIN files f ON s.file_id = f.id WHERE (s.kind, regexp_replace(f.path, '/[^/]*$', '')) IN (SELECT s.kind, regexp_replace(f.path, '/[^/]*$', '') FROM symbols s JOIN files f ON s.file_id = f.id WHERE s.id = 12) AND s.id <> 12 ORDER BY s.id LIMIT 10")(
     lambda m: sym(relational.similar_symbols(m.symbols, m.files, SYMBOL))
@@ -153,11 +155,11 @@ query("shallow_files", "SELECT id, path FROM files WHERE path NOT LIKE '%/%/%/%'
 query("conventions", "SELECT kind, CASE WHEN regexp_matches(name, '^[a-z][a-zA-Z0-9]*$') THEN 'camelCase' WHEN regexp_matches(name, '^[a-z][a-z0-9]*(_[a-z0-9]+)*$') THEN 'snake_case' WHEN regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$') THEN 'PascalCase' WHEN regexp_matches(name, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$') THEN 'UPPER_SNAKE' ELSE 'mixed' END AS style, COUNT(*) AS n FROM symbols WHERE NOT starts_with(name, '_') GROUP BY ALL")(
     lambda m: relational.conventions(m.symbols)
 )
-query("convention_violations", "WITH n AS (SELECT language, CASE WHEN regexp_matches(lang_word, '^[a-z][a-zA-Z0-9]*$') THEN 'camelCase' WHEN regexp_matches(lang_word, '^[A-Z][a-zA-Z0-9]*$') THEN 'PascalCase' ELSE 'mixed' END AS style, id, lang_word FROM (SELECT doc_id AS id, lang AS language, split_part(text, ' ', 1) AS lang_word FROM documents)), b AS (SELECT language, style, k, SUM(k) OVER (PARTITION BY language) AS t FROM (SELECT language, style, COUNT(*) AS k FROM n GROUP BY ALL)), best AS (SELECT language, style FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY k DESC, style) AS r FROM b) WHERE r = 1 AND k >= t * 0.5) SELECT n.id, n.lang_word AS name, n.language AS kind, n.style, best.style AS expected FROM n JOIN best USING (language) WHERE n.style <> best.style AND NOT starts_with(n.lang_word, '_')")(
-    lambda m: relational.convention_violations(m.raw("documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("kind"), F.split_part("text", F.lit(" "), F.lit(1)).alias("name")))
+query("convention_violations", "WITH s AS (SELECT *, CASE WHEN kind IN ('function', 'method') THEN 'func' WHEN kind IN ('class', 'interface', 'struct') THEN 'type' WHEN kind = 'constant' THEN 'constant' END AS grp FROM names WHERE name <> '' AND name NOT LIKE '@_%' ESCAPE '@' AND name NOT LIKE '<%'), c AS (SELECT language, COUNT(*) FILTER (grp = 'func' AND regexp_matches(name, '^[a-z][a-zA-Z0-9]*$')) AS camel, COUNT(*) FILTER (grp = 'func' AND regexp_matches(name, '^[a-z][a-z0-9]*(_[a-z0-9]+)*$')) AS snake, COUNT(*) FILTER (grp = 'type') AS types, COUNT(*) FILTER (grp = 'type' AND regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$')) AS pascal, COUNT(*) FILTER (grp = 'constant') AS constants, COUNT(*) FILTER (grp = 'constant' AND regexp_matches(name, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$')) AS uppers FROM s GROUP BY language), r AS (SELECT s.*, CASE grp WHEN 'func' THEN CASE WHEN camel > snake THEN 'camelCase' WHEN snake > camel THEN 'snake_case' END WHEN 'type' THEN CASE WHEN pascal > types * 0.5 THEN 'PascalCase' END WHEN 'constant' THEN CASE WHEN uppers > constants * 0.5 THEN 'UPPER_SNAKE' END END AS expected, CASE WHEN regexp_matches(name, '^[a-z][a-zA-Z0-9]*$') THEN 'camelCase' WHEN regexp_matches(name, '^[a-z][a-z0-9]*(_[a-z0-9]+)*$') THEN 'snake_case' WHEN regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$') THEN 'PascalCase' WHEN regexp_matches(name, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$') THEN 'UPPER_SNAKE' ELSE 'mixed' END AS actual FROM s JOIN c USING (language)) SELECT id, name, kind, language, expected, actual FROM r WHERE expected = 'camelCase' AND NOT regexp_matches(name, '^[a-z][a-zA-Z0-9]*$') AND NOT regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$') OR expected = 'snake_case' AND NOT regexp_matches(name, '^[a-z][a-z0-9]*(_[a-z0-9]+)*$') AND NOT regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$') OR expected = 'PascalCase' AND NOT regexp_matches(name, '^[A-Z][a-zA-Z0-9]*$') OR expected = 'UPPER_SNAKE' AND is_exported = 1 AND NOT regexp_matches(name, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)*$')")(
+    lambda m: relational.convention_violations(m.names)
 )
-query("betweenness_population", "SELECT list_sort(list(betweenness)) [CAST(LEAST(floor(COUNT(*) * 70 / 100.0), COUNT(*) - 1) AS BIGINT) + 1] AS p70, list_sort(list(betweenness)) [CAST(LEAST(floor(COUNT(*) * 90 / 100.0), COUNT(*) - 1) AS BIGINT) + 1] AS p90 FROM graph_metrics")(
-    lambda m: m.graph_metrics.agg(F.sort_array(F.collect_list("betweenness")).alias("x")).select(scoring.percentile_low(F.col("x"), 70).alias("p70"), scoring.percentile_low(F.col("x"), 90).alias("p90"))
+query("betweenness_population", "SELECT list_sort(list(betweenness)) [CAST(LEAST(floor(COUNT(*) * 70 / 100.0), COUNT(*) - 1) AS BIGINT) + 1] AS p70, list_sort(list(betweenness)) [CAST(LEAST(floor(COUNT(*) * 90 / 100.0), COUNT(*) - 1) AS BIGINT) + 1] AS p90 FROM graph_metrics WHERE betweenness > 0")(
+    lambda m: m.graph_metrics.filter("betweenness > 0").agg(scoring.percentile_low("betweenness", 70).alias("p70"), scoring.percentile_low("betweenness", 90).alias("p90"))
 )
 query("search_total", "SELECT COUNT(*) AS n FROM symbols WHERE name ILIKE '%ring%'")(lambda m: m.symbols.filter(strings.contains_ci("name", NEEDLE)).agg(F.count("*").alias("n")))
 query("colocated_tests", "SELECT id, path FROM files WHERE path ILIKE 'europe/%' AND file_role = 'test'")(lambda m: m.files.filter(F.col("path").ilike("europe/%") & (F.col("file_role") == "test")).select("id", "path"))
@@ -168,10 +170,10 @@ query("file_age", "SELECT file_id, CAST(floor((1000000000 - MIN(timestamp)) / 86
 query("uses_by_kind", "SELECT edge_kind, qualified_name, file_path, edge_line, id FROM (SELECT e.kind AS edge_kind, qualified_name, path AS file_path, e.line AS edge_line, s.id, row_number() OVER (PARTITION BY e.kind, qualified_name, path ORDER BY e.line, s.id, target_id) AS r FROM edges e JOIN symbols s ON source_id = s.id JOIN files f ON s.file_id = f.id WHERE target_id IN (12, 13)) WHERE r = 1")(
     lambda m: relational.uses(m.edges, m.symbols, m.files, ids(m, "id", 12, 13)).select("edge_kind", "qualified_name", "file_path", "edge_line", "id")
 )
-query("edge_dedup_priority", "SELECT of_id, id, edge_kind FROM (SELECT target_id AS of_id, source_id AS id, kind AS edge_kind, row_number() OVER (PARTITION BY target_id, source_id ORDER BY CASE kind WHEN 'call' THEN 0 WHEN 'inherits' THEN 1 WHEN 'import' THEN 2 ELSE 99 END, kind, line) AS r FROM edges WHERE target_id < 200) WHERE r = 1")(
-    lambda m: relational.neighbour_first_kind(m.edges.filter("target_id < 200").select(F.col("target_id").alias("of_id"), F.col("source_id").alias("id"), F.col("kind").alias("edge_kind"), F.col("line").alias("edge_line")), {"call": 0, "inherits": 1, "import": 2}).select("of_id", "id", "edge_kind")
+query("edge_dedup_priority", "SELECT of_id, id, edge_kind FROM (SELECT target_id AS of_id, source_id AS id, kind AS edge_kind, row_number() OVER (PARTITION BY target_id, source_id ORDER BY CASE kind WHEN 'call' THEN 0 WHEN 'inherits' THEN 1 WHEN 'import' THEN 2 ELSE 99 END, kind, line) AS r FROM edges) WHERE r = 1")(
+    lambda m: relational.neighbour_first_kind(m.edges.select(F.col("target_id").alias("of_id"), F.col("source_id").alias("id"), F.col("kind").alias("edge_kind"), F.col("line").alias("edge_line")), {"call": 0, "inherits": 1, "import": 2}).select("of_id", "id", "edge_kind")
 )
-query("dead_exports_anti", f"SELECT {SYM} FROM symbols s JOIN files f ON s.file_id = f.id WHERE is_exported = 1 AND s.kind IN ('function', 'class', 'method') AND file_role <> 'test' AND s.id NOT IN (SELECT target_id FROM edges WHERE kind = 'inherits')")(
+query("dead_exports_anti", f"SELECT {SYM} FROM symbols s JOIN files f ON s.file_id = f.id WHERE is_exported = 1 AND s.kind IN ('function', 'class', 'method') AND NOT regexp_matches(f.path, '(^|/)(test|tests|__tests__|spec|specs)/|_test[.]py$') AND s.id NOT IN (SELECT target_id FROM edges WHERE kind = 'inherits') AND s.name NOT IN ('__init__', '__main__', 'main', 'setup', 'teardown') AND NOT regexp_matches(s.name, '^(_|test_|Test)')")(
     lambda m: sym(relational.dead_exports(m.symbols, m.edges.filter("kind = 'inherits'"), m.files))
 )
 query("entry_points_anti", f"SELECT {SYM} FROM symbols s JOIN files f ON s.file_id = f.id WHERE s.id NOT IN (SELECT target_id FROM edges WHERE kind = 'call') AND s.id IN (SELECT source_id FROM edges WHERE kind = 'call')")(
@@ -223,17 +225,18 @@ query("commit_header_fill", "SELECT l_orderkey, l_linenumber, l_partkey, last_va
 
 # scores
 
-query("god_components", "SELECT s.id, s.name, in_degree + out_degree AS degree, CASE WHEN in_degree + out_degree > 50 THEN 'CRITICAL' WHEN in_degree + out_degree > 30 THEN 'WARNING' ELSE 'INFO' END AS severity FROM (SELECT * FROM graph_metrics ORDER BY in_degree + out_degree DESC, symbol_id LIMIT 50) g JOIN symbols s ON g.symbol_id = s.id WHERE in_degree + out_degree > 20")(
-    lambda m: scoring.god_components(relational.ranked(m.symbols, m.files, m.graph_metrics, [(F.col("in_degree") + F.col("out_degree")).desc()], 50)).select("id", "name", "degree", "severity")
+query("god_components", "SELECT id, name, degree, category, CASE WHEN degree > CASE category WHEN 'utility' THEN 150 ELSE 50 END THEN 'CRITICAL' WHEN degree > CASE category WHEN 'utility' THEN 90 ELSE 30 END THEN 'WARNING' ELSE 'INFO' END AS severity FROM (SELECT s.id, s.name, in_degree + out_degree AS degree, CASE WHEN regexp_matches(lower(f.path), 'composables/|utils/|services/|lib/|helpers/|shared/|config/|core/|hooks/|stores/|output/|db/|common/|internal/|infra/|tests/|test/|spec/|dev/|scripts/|bin/|benchmark/|conftest[.]py|(^|/)(resolve|helpers|common|base)[.]py$') THEN 'utility' ELSE 'actionable' END AS category FROM (SELECT * FROM graph_metrics ORDER BY in_degree + out_degree DESC, symbol_id LIMIT 50) g JOIN symbols s ON g.symbol_id = s.id JOIN files f ON s.file_id = f.id) WHERE degree > 20")(
+    lambda m: scoring.god_components(relational.ranked(m.symbols, m.files, m.graph_metrics, [(F.col("in_degree") + F.col("out_degree")).desc()], 50)).select("id", "name", "degree", "category", "severity")
 )
-query("bottleneck_severity", "WITH p AS (SELECT list_sort(list(betweenness)) AS x, COUNT(*) AS n FROM graph_metrics), t AS (SELECT s.id, betweenness FROM graph_metrics g JOIN symbols s ON g.symbol_id = s.id ORDER BY betweenness DESC, s.id LIMIT 15) SELECT id, betweenness, CASE WHEN betweenness > x[CAST(LEAST(floor(n * 90 / 100.0), n - 1) AS BIGINT) + 1] THEN 'CRITICAL' WHEN betweenness > x[CAST(LEAST(floor(n * 70 / 100.0), n - 1) AS BIGINT) + 1] THEN 'WARNING' ELSE 'INFO' END AS severity FROM t, p WHERE betweenness > 0.5")(
-    lambda m: scoring.bottlenecks(relational.ranked(m.symbols, m.files, m.graph_metrics, [F.desc("betweenness")], 15), m.graph_metrics).select("id", "betweenness", "severity")
+_NECKS = "p AS (SELECT list_sort(list(betweenness)) AS x, COUNT(*) AS n FROM graph_metrics WHERE betweenness > 0), t AS (SELECT s.id, floor(betweenness * 10 + 0.5) / 10 AS betweenness, CASE WHEN regexp_matches(lower(f.path), 'composables/|utils/|services/|lib/|helpers/|shared/|config/|core/|hooks/|stores/|output/|db/|common/|internal/|infra/|tests/|test/|spec/|dev/|scripts/|bin/|benchmark/|conftest[.]py|(^|/)(resolve|helpers|common|base)[.]py$') THEN 'utility' ELSE 'actionable' END AS category FROM graph_metrics g JOIN symbols s ON g.symbol_id = s.id JOIN files f ON s.file_id = f.id WHERE betweenness > 0.5 ORDER BY g.betweenness DESC, s.id LIMIT 15), necks AS (SELECT id, t.betweenness, category, CASE WHEN t.betweenness > x[CAST(LEAST(floor(n * 90 / 100.0), n - 1) AS BIGINT) + 1] * CASE category WHEN 'utility' THEN 1.5 ELSE 1 END THEN 'CRITICAL' WHEN t.betweenness > x[CAST(LEAST(floor(n * 70 / 100.0), n - 1) AS BIGINT) + 1] * CASE category WHEN 'utility' THEN 1.5 ELSE 1 END THEN 'WARNING' ELSE 'INFO' END AS severity FROM t, p)"
+query("bottleneck_severity", f"WITH {_NECKS} SELECT * FROM necks")(
+    lambda m: scoring.bottlenecks(relational.ranked(m.symbols, m.files, m.graph_metrics, [F.desc("betweenness")], 15), m.graph_metrics).select("id", "betweenness", "category", "severity")
 )
-query("weather_hotspots", "WITH t AS (SELECT file_id, path, total_churn, complexity FROM file_stats JOIN files f ON file_id = f.id ORDER BY total_churn DESC, file_id LIMIT 40), p AS (SELECT list_sort(list(total_churn)) [GREATEST(CAST(ceil(COUNT(*) * 75 / 100.0) AS BIGINT), 1)] AS pa, list_sort(list(complexity)) [GREATEST(CAST(ceil(COUNT(*) * 75 / 100.0) AS BIGINT), 1)] AS pb FROM t) SELECT file_id, path, total_churn, complexity, round(sqrt(total_churn::DOUBLE / GREATEST(pa, 1) * (complexity / CASE WHEN pb > 0 THEN pb ELSE 1 END)), 6) AS score FROM t, p ORDER BY score DESC, file_id LIMIT 20")(
-    lambda m: scoring.hotspots(m.file_stats, m.files, 20).drop("reason")
+query("weather_hotspots", "WITH t AS (SELECT file_id, path, total_churn, complexity FROM file_stats JOIN files f ON file_id = f.id ORDER BY total_churn DESC, file_id LIMIT 40), p AS (SELECT list_sort(list(total_churn)) [GREATEST(CAST(ceil(COUNT(*) * 75 / 100.0) AS BIGINT), 1)] AS pa, list_sort(list(complexity)) [GREATEST(CAST(ceil(COUNT(*) * 75 / 100.0) AS BIGINT), 1)] AS pb FROM t), n AS (SELECT *, total_churn::DOUBLE / CASE WHEN pa = 0 THEN 1 ELSE pa END AS a, complexity / CASE WHEN pb = 0 THEN 1 ELSE pb END AS b FROM t, p) SELECT file_id, path, total_churn, complexity, floor(sqrt(a * b) * 1000 + 0.5) / 1000 AS score, CASE WHEN a > 2 * b THEN 'HIGH-CHURN' WHEN b > 2 * a THEN 'HIGH-COMPLEXITY' ELSE 'BOTH' END AS reason FROM n ORDER BY score DESC, file_id LIMIT 20")(
+    lambda m: scoring.hotspots(m.file_stats, m.files, 20)
 )
-query("file_risk", "WITH w AS (SELECT f AS id, SUM(n) AS weight FROM (SELECT file_id_a AS f, cochange_count AS n FROM git_cochange UNION ALL SELECT file_id_b, cochange_count FROM git_cochange) GROUP BY f), ti AS (SELECT target_file_id AS id, COUNT(DISTINCT source_file_id) AS test_importers FROM file_edges JOIN files f ON source_file_id = f.id WHERE file_role = 'test' GROUP BY ALL), j AS (SELECT f.id, f.path, COALESCE(total_churn, 0)::DOUBLE AS a, COALESCE(complexity, 0)::DOUBLE AS b, COALESCE(weight, 0)::DOUBLE AS c, COALESCE(test_importers, 0) AS t FROM files f LEFT JOIN file_stats s ON s.file_id = f.id LEFT JOIN w ON w.id = f.id LEFT JOIN ti ON ti.id = f.id), p AS (SELECT list_sort(list(a)) AS xa, list_sort(list(b)) AS xb, list_sort(list(c)) AS xc, CAST(LEAST(floor(COUNT(*) * 90 / 100.0), COUNT(*) - 1) AS BIGINT) + 1 AS k FROM j) SELECT id, path, floor((0.3::DOUBLE * LEAST(1, a / CASE WHEN xa[k] = 0 THEN 1 ELSE xa[k] END) + 0.3::DOUBLE * LEAST(1, b / CASE WHEN xb[k] = 0 THEN 1 ELSE xb[k] END) + 0.2::DOUBLE * LEAST(1, c / CASE WHEN xc[k] = 0 THEN 1 ELSE xc[k] END) + 0.2::DOUBLE * CASE WHEN t > 0 THEN 0.5::DOUBLE ELSE 1 END) * 1000 + 0.5) / 1000 AS risk FROM j, p")(
-    lambda m: scoring.file_risk(m.files, m.file_stats.select("file_id", "total_churn", "complexity"), temporal.symmetric_weight(m.cochange).select("file_id", "weight"), relational.test_importers(m.file_edges, m.files.withColumn("path", F.lit("")))).join(m.files.select("id", F.col("path").alias("p")), "id").select("id", F.col("p").alias("path"), "risk")
+query("file_risk", "WITH w AS (SELECT f AS id, SUM(n) AS weight FROM (SELECT file_id_a AS f, cochange_count AS n FROM git_cochange UNION ALL SELECT file_id_b, cochange_count FROM git_cochange) GROUP BY f), ti AS (SELECT target_file_id AS id, COUNT(DISTINCT source_file_id) AS test_importers FROM file_edges JOIN files f ON source_file_id = f.id WHERE file_role = 'test' OR path ILIKE '%test%' OR path ILIKE '%spec%' GROUP BY ALL), j AS (SELECT f.id, f.path, COALESCE(total_churn, 0)::DOUBLE AS a, COALESCE(complexity, 0)::DOUBLE AS b, COALESCE(weight, 0)::DOUBLE AS c, COALESCE(test_importers, 0) AS t FROM files f LEFT JOIN file_stats s ON s.file_id = f.id LEFT JOIN w ON w.id = f.id LEFT JOIN ti ON ti.id = f.id), p AS (SELECT list_sort(list(a)) AS xa, list_sort(list(b)) AS xb, list_sort(list(c)) AS xc, CAST(LEAST(floor(COUNT(*) * 90 / 100.0), COUNT(*) - 1) AS BIGINT) + 1 AS k FROM j), r AS (SELECT id, path, floor((0.3::DOUBLE * LEAST(1, a / CASE WHEN xa[k] = 0 THEN 1 ELSE xa[k] END) + 0.3::DOUBLE * LEAST(1, b / CASE WHEN xb[k] = 0 THEN 1 ELSE xb[k] END) + 0.2::DOUBLE * LEAST(1, c / CASE WHEN xc[k] = 0 THEN 1 ELSE xc[k] END) + 0.2::DOUBLE * CASE WHEN t > 0 THEN 0.5::DOUBLE ELSE 1 END) * 1000 + 0.5) / 1000 AS risk FROM j, p) SELECT id, path, risk, CASE WHEN risk > 0.8 THEN 'CRITICAL' WHEN risk > 0.6 THEN 'HIGH' WHEN risk > 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM r")(
+    lambda m: scoring.file_risk(m.files, m.file_stats.select("file_id", "total_churn", "complexity"), temporal.symmetric_weight(m.cochange).select("file_id", "weight"), relational.test_importers(m.file_edges, m.files)).select("id", "path", "risk", "level")
 )
 query("dead_decay", "WITH d AS (SELECT s.* FROM symbols s WHERE is_exported = 1 AND kind IN ('function', 'class', 'method') AND id NOT IN (SELECT target_id FROM edges WHERE kind = 'inherits')), a AS (SELECT file_id, floor((1000000000 - MIN(timestamp)) / 86400.0) AS age FROM git_file_changes JOIN git_commits c ON commit_id = c.id GROUP BY file_id), u AS (SELECT DISTINCT name FROM symbols WHERE id IN (SELECT target_id FROM edges WHERE kind = 'inherits')) SELECT d.id, CASE WHEN u.name IS NULL THEN 100 ELSE 70 END AS confidence, CAST(GREATEST(1, floor(0.5::DOUBLE * (line_end - line_start + 1) + 0.5)) AS BIGINT) AS effort, floor(COALESCE(age, 0) / 365.0::DOUBLE * (line_end - line_start + 1) * CASE WHEN u.name IS NULL THEN 100 ELSE 70 END / 100 * 10 + 0.5) / 10 AS decay FROM d LEFT JOIN a ON d.file_id = a.file_id LEFT JOIN u ON d.name = u.name")(
     lambda m: scoring.dead_decay(scoring.dead_confidence(relational.unreferenced_exports(m.symbols, m.edges.filter("kind = 'inherits'"), m.files), m.edges.filter("kind = 'inherits'"), m.symbols), temporal.age_days(m.commits, m.changes, NOW)).select("id", "confidence", "effort", "decay")
@@ -242,64 +245,76 @@ query("dead_decay", "WITH d AS (SELECT s.* FROM symbols s WHERE is_exported = 1
 
 def project_metrics(m: Model) -> DataFrame:
     """metric, value of the gates."""
-    one = m.symbol_metrics.agg(F.avg("cognitive_complexity").alias("avg_complexity"), F.max("cognitive_complexity").alias("max_complexity"))
-    dead = relational.unreferenced_exports(m.symbols, m.edges, m.files).agg(F.count("*").alias("dead"))
-    n = m.symbols.agg(F.count("*").alias("symbols"))
-    files = m.files.agg(F.avg(F.when(F.col("file_role") == "test", 1.0).otherwise(0.0)).alias("test_ratio"))
-    density = scoring.coupling_density(m.cochange, m.files).select(F.col("density").alias("coupling_density"))
-    j = one.join(dead).join(n).join(files).join(density).withColumn("dead_pct", F.round(F.col("dead") * 100 / F.col("symbols"), 6))
-    return j.selectExpr("stack(5, 'avg_complexity', avg_complexity, 'max_complexity', max_complexity, 'dead_pct', dead_pct, 'test_ratio', test_ratio, 'coupling_density', coupling_density) AS (metric, value)").withColumn("value", F.round("value", 6))
+    scc = graph.strong_components(m.graph, m.vertices)
+    return scoring.project_metrics(m.files, m.symbols, m.edges.filter("kind = 'inherits'"), m.symbol_metrics, m.graph_metrics, m.cochange, scc)
 
 
-query("fitness_gates", "WITH v AS (SELECT 'avg_complexity' AS metric, (SELECT AVG(cognitive_complexity) FROM symbol_metrics) AS value, 15 AS t UNION ALL SELECT 'max_complexity', (SELECT MAX(cognitive_complexity) FROM symbol_metrics), 50 UNION ALL SELECT 'dead_pct', (SELECT COUNT(*) FROM symbols JOIN files f ON file_id = f.id WHERE is_exported = 1 AND kind IN ('function', 'class', 'method') AND symbols.id NOT IN (SELECT target_id FROM edges)) * 100.0::DOUBLE / (SELECT COUNT(*) FROM symbols), 15 UNION ALL SELECT 'test_ratio', (SELECT AVG(CASE WHEN file_role = 'test' THEN 1.0::DOUBLE ELSE 0 END) FROM files), 0.1 UNION ALL SELECT 'coupling_density', (SELECT floor((SELECT COUNT(*) FROM git_cochange WHERE cochange_count >= 3) / (COUNT(*) * (COUNT(*) - 1) / 2.0::DOUBLE) * 1000 + 0.5) / 1000 FROM files), 0.3) SELECT metric, round(value, 6) AS value, CASE WHEN metric = 'test_ratio' THEN value >= t ELSE value <= t END AS passed FROM v")(
-    lambda m: scoring.gates(project_metrics(m)).select("metric", "value", "passed")
+_METRICS = (
+    "v AS (SELECT 'avg_complexity' AS metric, (SELECT floor(AVG(cognitive_complexity) * 10 + 0.5) / 10 FROM symbol_metrics WHERE cognitive_complexity > 0) AS value UNION ALL SELECT 'max_complexity', (SELECT MAX(cognitive_complexity) FROM symbol_metrics WHERE cognitive_complexity > 0) "
+    "UNION ALL SELECT 'dead_pct', (SELECT floor((SELECT COUNT(*) FROM symbols s WHERE is_exported = 1 AND kind IN ('function', 'class', 'method') AND id NOT IN (SELECT target_id FROM edges WHERE kind = 'inherits'))::DOUBLE / COUNT(*) * 1000 + 0.5) / 10 FROM symbols) "
+    "UNION ALL SELECT 'test_ratio', (SELECT floor(COUNT(*) FILTER (path ILIKE '%test%' OR path ILIKE '%spec%')::DOUBLE / COUNT(*) * 1000 + 0.5) / 1000 FROM files) UNION ALL SELECT 'cycle_count', (SELECT COUNT(*)::DOUBLE FROM (SELECT scc_id FROM scc GROUP BY scc_id HAVING COUNT(*) > 1)) "
+    "UNION ALL SELECT 'tangle_ratio', (SELECT floor(SUM(CASE WHEN k > 1 THEN k ELSE 0 END)::DOUBLE / SUM(k) * 1000 + 0.5) / 10 FROM (SELECT COUNT(*) AS k FROM scc GROUP BY scc_id)) UNION ALL SELECT 'god_components', (SELECT COUNT(*)::DOUBLE FROM graph_metrics WHERE in_degree + out_degree > 20) "
+    "UNION ALL SELECT 'coupling_density', (SELECT floor((SELECT COUNT(*) FROM git_cochange WHERE cochange_count >= 3) / (COUNT(*) * (COUNT(*) - 1) / 2.0::DOUBLE) * 1000 + 0.5) / 1000 FROM files))"
 )
-query("pr_risk", "WITH c AS (SELECT s.* FROM symbols s WHERE file_id IN (7, 8)), v AS (SELECT (SELECT COUNT(*) FROM (SELECT DISTINCT source_id FROM edges WHERE target_id IN (SELECT id FROM c) AND source_id NOT IN (SELECT id FROM c))) AS blast, (SELECT COUNT(DISTINCT target_id) FROM edges JOIN c ON target_id = c.id JOIN symbols s ON source_id = s.id WHERE c.is_exported = 1 AND s.file_id <> c.file_id) AS breaking, (SELECT COUNT(*) FROM c WHERE is_exported = 0) AS untested, (SELECT COUNT(*) FROM c JOIN symbol_metrics ON symbol_id = c.id WHERE cognitive_complexity >= 15) AS complex, 2 AS files) SELECT blast, breaking, untested, complex, round(0.3::DOUBLE * LEAST(blast / 50.0::DOUBLE, 1) + 0.25::DOUBLE * LEAST(breaking / 10.0::DOUBLE, 1) + 0.2::DOUBLE * LEAST(untested / 10.0::DOUBLE, 1) + 0.15::DOUBLE * LEAST(complex / 5.0::DOUBLE, 1) + 0.02::DOUBLE, 6) AS risk FROM v")(
-    lambda m: _pr(m).select("blast", "breaking", "untested", "complex", "risk")
+query("project_metrics", f"WITH {_METRICS} SELECT * FROM v")(project_metrics)
+query("fitness_gates", f"WITH {_METRICS}, g(metric, op, base, strict, python, javascript, go, java, rust) AS (VALUES ('avg_complexity', '<=', 25.0::DOUBLE, 15, 20, 22, 15, 20, 18), ('max_complexity', '<=', 75, 40, 75, 75, 50, 60, 50), ('dead_pct', '<=', 15, 5, 12, 18, 8, 20, 5), ('test_ratio', '>=', 0.1, 0.3, 0.15, 0.08, 0.2, 0.15, 0.2), ('cycle_count', '<=', 5, 0, 5, 5, 2, 5, 1), ('coupling_density', '<=', 0.3, 0.15, 0.3, 0.35, 0.3, 0.25, 0.3), ('god_components', '<=', 3, 0, 3, 3, 3, 3, 3), ('tangle_ratio', '<=', 10, 3, 10, 10, 10, 10, 2)), t AS (SELECT metric, op, unnest(['default', 'strict', 'python', 'javascript', 'go', 'java', 'rust']) AS preset, unnest([base, strict, python, javascript, go, java, rust])::DOUBLE AS threshold FROM g) SELECT preset, metric, op, threshold, value, CASE WHEN op = '>=' THEN value >= threshold ELSE value <= threshold END AS passed FROM t JOIN v USING (metric)")(
+    lambda m: _all_presets(m)
 )
 
 
-def _pr(m: Model) -> DataFrame:
-    c = m.symbols.filter("file_id IN (7, 8)")
-    e = m.edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
-    blast = graph.reachable(graph.reverse(e), c.select("id"), 1).agg(F.count("*").alias("blast"))
-    brk = scoring.breaking(m.symbols, m.edges, ids(m, "file_id", 7, 8)).agg(F.count("*").alias("breaking"))
-    own = c.agg(F.count_if(F.col("is_exported") == 0).alias("untested"))
-    cx = m.symbol_metrics.filter("cognitive_complexity >= 15").join(c.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi").agg(F.count("*").alias("complex"))
-    return scoring.pr_risk(blast.join(brk).join(own).join(cx).withColumn("files", F.lit(2)))
+def _all_presets(m: Model) -> DataFrame:
+    metrics = m.spark.createDataFrame(project_metrics(m).collect(), "metric string, value double")  # eight rows
+    out = None
+    for preset in scoring.PRESETS:
+        one = scoring.gates(metrics, preset).withColumn("preset", F.lit(preset)).select("preset", "metric", "op", "threshold", "value", "passed")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-query("health_score", "WITH t AS (SELECT floor(SUM(CASE WHEN k > 1 THEN k ELSE 0 END) * 1000.0::DOUBLE / SUM(k) + 0.5) / 10 AS tangle FROM (SELECT COUNT(*) AS k FROM scc GROUP BY scc_id)), g AS (SELECT COUNT(*) AS god, COUNT(*) FILTER (in_degree + out_degree > 50) AS gc FROM (SELECT * FROM graph_metrics ORDER BY in_degree + out_degree DESC, symbol_id LIMIT 50) WHERE in_degree + out_degree > 20) SELECT tangle, CAST(floor(100 * exp(0.30::DOUBLE * ln(GREATEST(exp(-tangle / 10), 1e-9)) + 0.20::DOUBLE * ln(GREATEST(exp(-(3 * gc + 0.5::DOUBLE * god) / 5), 1e-9)))) AS BIGINT) AS health FROM t, g")(
-    lambda m: _health(m).select("tangle", "health")
+query("quick_health", f"WITH {_METRICS}, w AS (SELECT MAX(value) FILTER (metric = 'tangle_ratio') AS tangle, MAX(value) FILTER (metric = 'god_components') AS god, MAX(value) FILTER (metric = 'dead_pct') AS dead, MAX(value) FILTER (metric = 'avg_complexity') AS cc, MAX(value) FILTER (metric = 'cycle_count') AS cycles FROM v) SELECT CAST(GREATEST(0, 100 - CASE WHEN tangle > 10 THEN 20 WHEN tangle > 5 THEN 10 ELSE 0 END - CASE WHEN god > 5 THEN 15 WHEN god > 2 THEN 8 ELSE 0 END - CASE WHEN dead > 15 THEN 10 WHEN dead > 5 THEN 5 ELSE 0 END - CASE WHEN cc > 25 THEN 15 WHEN cc > 15 THEN 8 ELSE 0 END - CASE WHEN cycles > 5 THEN 10 ELSE 0 END) AS BIGINT) AS quick_health FROM w")(
+    lambda m: scoring.quick_health(project_metrics(m).groupBy().pivot("metric", list(scoring.GATES)).agg(F.first("value"))).select("quick_health")
+)
+query("pr_risk", "WITH RECURSIVE own AS (SELECT id FROM files f WHERE id IN (5, 7, 8) AND NOT regexp_matches(path, '(^|/)(test|tests|__tests__|spec|specs)/|_test[.]py$')), c AS (SELECT s.* FROM symbols s WHERE file_id IN (SELECT id FROM own)), r AS (SELECT id, 0 AS d FROM c UNION SELECT e.source_id, d + 1 FROM r JOIN edges e ON e.target_id = r.id WHERE d < 10), n AS (SELECT target_id, COUNT(*) AS k FROM edges GROUP BY 1), t AS (SELECT DISTINCT target_id FROM edges e JOIN symbols s ON e.source_id = s.id JOIN files f ON s.file_id = f.id WHERE f.path ILIKE '%test%' OR f.path ILIKE '%spec%'), v AS (SELECT (SELECT COUNT(DISTINCT id) FROM r WHERE id NOT IN (SELECT id FROM c)) AS blast, COUNT(*) FILTER (is_exported = 1 AND k > 0) AS breaking, COUNT(*) FILTER (is_exported = 1 AND t.target_id IS NULL AND pagerank > 0) AS untested, COUNT(*) FILTER (cognitive_complexity > 10) AS complex, (SELECT COUNT(*) FROM own) AS files FROM c LEFT JOIN n ON n.target_id = c.id LEFT JOIN t ON t.target_id = c.id LEFT JOIN graph_metrics g ON g.symbol_id = c.id LEFT JOIN symbol_metrics m ON m.symbol_id = c.id), x AS (SELECT *, floor((0.3::DOUBLE * LEAST(blast / 50.0::DOUBLE, 1) + 0.25::DOUBLE * LEAST(breaking / 10.0::DOUBLE, 1) + 0.2::DOUBLE * LEAST(untested / 10.0::DOUBLE, 1) + 0.15::DOUBLE * LEAST(complex / 5.0::DOUBLE, 1) + CASE WHEN files > 10 THEN 0.1::DOUBLE ELSE files / 100.0::DOUBLE END) * 1000 + 0.5) / 1000 AS risk FROM v) SELECT *, CASE WHEN risk > 0.7 THEN 'CRITICAL' WHEN risk > 0.5 THEN 'HIGH' WHEN risk > 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM x")(
+    lambda m: scoring.pr_risk(scoring.pr_facts(ids(m, "file_id", 5, 7, 8), m.symbols, m.edges, m.files, m.graph_metrics, m.symbol_metrics))
+)
+query("health_score", f"WITH {_NECKS}, tt AS (SELECT floor(SUM(CASE WHEN k > 1 THEN k ELSE 0 END) * 1000.0::DOUBLE / SUM(k) + 0.5) / 10 AS tangle FROM (SELECT COUNT(*) AS k FROM scc GROUP BY scc_id)), g AS (SELECT COUNT(*) AS god, COUNT(*) FILTER (d > CASE WHEN regexp_matches(lower(path), 'lib/') THEN 150 ELSE 50 END) AS gc FROM (SELECT in_degree + out_degree AS d, path FROM graph_metrics g JOIN symbols s ON g.symbol_id = s.id JOIN files f ON s.file_id = f.id ORDER BY d DESC, symbol_id LIMIT 50) WHERE d > 20), b AS (SELECT COUNT(*) AS neck, COUNT(*) FILTER (severity = 'CRITICAL') AS nc FROM necks), w AS (SELECT COUNT(*) AS violations FROM graph JOIN (SELECT s_suppkey AS id, s_nationkey % 5 AS layer FROM supplier) a ON src = a.id JOIN (SELECT s_suppkey AS id, s_nationkey % 5 AS layer FROM supplier) c ON dst = c.id WHERE a.layer > c.layer) SELECT tangle, god, gc AS god_critical, neck, nc AS neck_critical, violations, CAST(floor(100 * exp(0.30::DOUBLE * ln(GREATEST(exp(-tangle / 10), 1e-9)) + 0.20::DOUBLE * ln(GREATEST(exp(-(3 * gc + 0.5::DOUBLE * god) / 5), 1e-9)) + 0.15::DOUBLE * ln(GREATEST(exp(-(2 * nc + 0.3::DOUBLE * neck) / 4), 1e-9)) + 0.15::DOUBLE * ln(GREATEST(exp(-violations / 5.0::DOUBLE), 1e-9)))) AS BIGINT) AS health FROM tt, g, b, w")(
+    lambda m: _health(m).drop("avg_health")
 )
 
 
 def _health(m: Model) -> DataFrame:
     tangle = graph.tangle(graph.strong_components(m.graph, m.vertices)).select(F.col("tangle_ratio").alias("tangle"))
-    god = scoring.god_components(relational.ranked(m.symbols, m.files, m.graph_metrics, [(F.col("in_degree") + F.col("out_degree")).desc()], 50)).agg(F.count("*").alias("god"), F.count_if(F.col("degree") > 50).alias("god_critical"))
-    rest = tangle.join(god).withColumns({"neck": F.lit(0), "neck_critical": F.lit(0), "violations": F.lit(0), "avg_health": F.lit(None).cast("double")})
-    return scoring.health(rest)
+    god = scoring.god_components(relational.ranked(m.symbols, m.files, m.graph_metrics, [(F.col("in_degree") + F.col("out_degree")).desc()], 50)).agg(F.count("*").alias("god"), F.count_if(F.col("severity") == "CRITICAL").alias("god_critical"))
+    necks = scoring.bottlenecks(relational.ranked(m.symbols, m.files, m.graph_metrics, [F.desc("betweenness")], 15), m.graph_metrics).agg(F.count("*").alias("neck"), F.count_if(F.col("severity") == "CRITICAL").alias("neck_critical"))
+    layer = m.raw("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 5).alias("layer"))
+    violations = graph.layer_violations(m.graph, layer).agg(F.count("*").alias("violations"))
+    return scoring.health(tangle.join(god).join(necks).join(violations).withColumn("avg_health", F.lit(None).cast("double")))
 
 
 # statistics
 
 _Z = "WITH a AS (SELECT series, list(value ORDER BY idx) AS v, quantile_cont(value, 0.5) AS med FROM history GROUP BY series), b AS (SELECT h.series, h.idx, h.value, a.med, quantile_cont(abs(h.value - a.med), 0.5) OVER (PARTITION BY h.series) AS mad FROM history h JOIN a USING (series)), z AS (SELECT series, idx, value, med, mad, round(CASE WHEN mad = 0 THEN 0 ELSE (value - med) / (mad / 0.6745::DOUBLE) END, 6) AS z FROM b)"
 query("modified_zscore", f"{_Z} SELECT series, idx, value, round(med, 6) AS med, round(mad, 6) AS mad, round(z, 4) AS z FROM z")(lambda m: stats.modified_z(m.history).select("series", "idx", "value", F.round("med", 6).alias("med"), F.round("mad", 6).alias("mad"), F.round("z", 4).alias("z")))
-query("mann_kendall", "WITH p AS (SELECT a.series, CAST(SUM(sign(b.value - a.value)) AS BIGINT) AS s FROM history a JOIN history b ON a.series = b.series AND a.idx < b.idx GROUP BY 1), n AS (SELECT series, COUNT(*) AS n FROM history GROUP BY 1) SELECT series, n, s, round(s / (n * (n - 1) / 2.0::DOUBLE), 6) AS tau FROM p JOIN n USING (series)")(
-    lambda m: stats.mann_kendall(m.history).select("series", "n", "s", "tau")
+query("mann_kendall", "WITH p AS (SELECT a.series, CAST(SUM(sign(b.value - a.value)) AS BIGINT) AS s FROM history a JOIN history b ON a.series = b.series AND a.idx < b.idx GROUP BY 1), n AS (SELECT series, COUNT(*) AS n FROM history GROUP BY 1), t AS (SELECT series, SUM(k * (k - 1) * (2 * k + 5)) AS ties FROM (SELECT series, value, COUNT(*) AS k FROM history GROUP BY ALL) GROUP BY 1), v AS (SELECT *, (n * (n - 1) * (2 * n + 5) - ties) / 18.0::DOUBLE AS var FROM p JOIN n USING (series) JOIN t USING (series)), z AS (SELECT *, abs(CASE WHEN var <= 0 THEN 0 WHEN s > 0 THEN (s - 1) / sqrt(var) WHEN s < 0 THEN (s + 1) / sqrt(var) ELSE 0 END) AS z FROM v), c AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * z) AS k FROM z), q AS (SELECT *, CASE WHEN n < 4 THEN 1 ELSE 2 * (1 - 0.5::DOUBLE * (1 + sign(z) * (1 - ((((1.061405429::DOUBLE * k - 1.453152027::DOUBLE) * k + 1.421413741::DOUBLE) * k - 0.284496736::DOUBLE) * k + 0.254829592::DOUBLE) * k * exp(-z * z / 2)))) END AS p FROM c) SELECT series, n, CASE WHEN n < 4 THEN 0 ELSE s END AS s, round(CASE WHEN n < 4 THEN 0 ELSE s / (n * (n - 1) / 2.0::DOUBLE) END, 6) AS tau, round(p, 6) AS p, CASE WHEN n < 4 OR p >= 0.05 THEN 'no_trend' WHEN s > 0 THEN 'increasing' ELSE 'decreasing' END AS trend FROM q")(
+    lambda m: stats.mann_kendall(m.history)
 )
 query("theil_sen", "WITH s AS (SELECT a.series, quantile_cont((b.value - a.value) / (b.idx - a.idx), 0.5) AS slope FROM history a JOIN history b ON a.series = b.series AND a.idx < b.idx GROUP BY 1) SELECT h.series, round(MAX(slope), 5) AS slope, round(quantile_cont(value - slope * idx, 0.5), 5) AS intercept FROM history h JOIN s USING (series) GROUP BY 1")(
     lambda m: stats.theil_sen(m.history).select("series", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"))
 )
-query("western_electric", "WITH z AS (SELECT series, idx, value, (value - AVG(value) OVER s) / stddev_pop(value) OVER s AS z, row_number() OVER (PARTITION BY series ORDER BY idx) AS n FROM history WINDOW s AS (PARTITION BY series)), c AS (SELECT *, COUNT(*) FILTER (z > 2) OVER w3 AS a2, COUNT(*) FILTER (z < -2) OVER w3 AS b2, COUNT(*) FILTER (z > 1) OVER w5 AS a1, COUNT(*) FILTER (z < -1) OVER w5 AS b1, COUNT(*) FILTER (z > 0) OVER w8 AS a0, COUNT(*) FILTER (z < 0) OVER w8 AS b0 FROM z WINDOW w3 AS (PARTITION BY series ORDER BY idx ROWS 2 PRECEDING), w5 AS (PARTITION BY series ORDER BY idx ROWS 4 PRECEDING), w8 AS (PARTITION BY series ORDER BY idx ROWS 7 PRECEDING)) SELECT series, idx, value, 1 AS rule FROM c WHERE abs(z) > 3 UNION ALL SELECT series, idx, value, 2 FROM c WHERE n >= 3 AND (a2 >= 2 OR b2 >= 2) UNION ALL SELECT series, idx, value, 3 FROM c WHERE n >= 5 AND (a1 >= 4 OR b1 >= 4) UNION ALL SELECT series, idx, value, 4 FROM c WHERE n >= 8 AND (a0 = 8 OR b0 = 8)")(
-    lambda m: stats.western_electric(m.history)
+_WE = "z0 AS (SELECT series, idx, value, (value - AVG(value) OVER s) / stddev_pop(value) OVER s AS z, row_number() OVER (PARTITION BY series ORDER BY idx) AS n FROM prices WINDOW s AS (PARTITION BY series)), c AS (SELECT *, COUNT(*) FILTER (z > 2) OVER w3 AS a2, COUNT(*) FILTER (z < -2) OVER w3 AS b2, COUNT(*) FILTER (z > 1) OVER w5 AS a1, COUNT(*) FILTER (z < -1) OVER w5 AS b1, COUNT(*) FILTER (z > 0) OVER w8 AS a0, COUNT(*) FILTER (z < 0) OVER w8 AS b0 FROM z0 WINDOW w3 AS (PARTITION BY series ORDER BY idx ROWS 2 PRECEDING), w5 AS (PARTITION BY series ORDER BY idx ROWS 4 PRECEDING), w8 AS (PARTITION BY series ORDER BY idx ROWS 7 PRECEDING)), we AS (SELECT series, idx, value, 1 AS rule FROM c WHERE abs(z) > 3 UNION ALL SELECT series, idx, value, 2 FROM c WHERE n >= 3 AND (a2 >= 2 OR b2 >= 2) UNION ALL SELECT series, idx, value, 3 FROM c WHERE n >= 5 AND (a1 >= 4 OR b1 >= 4) UNION ALL SELECT series, idx, value, 4 FROM c WHERE n >= 8 AND (a0 = 8 OR b0 = 8))"
+query("western_electric", f"WITH {_WE} SELECT * FROM we")(lambda m: stats.western_electric(m.prices))
+query("cusum", "WITH st AS (SELECT series, AVG(value) AS mu, stddev_pop(value) AS sd FROM history GROUP BY series HAVING COUNT(*) >= 5 AND stddev_pop(value) >= 1e-12), r AS (SELECT h.series, h.idx, GREATEST(0, value - mu - 0.5::DOUBLE * sd) AS p, GREATEST(0, mu - value - 0.5::DOUBLE * sd) AS m FROM history h JOIN st USING (series) WHERE idx = 0 UNION ALL SELECT h.series, h.idx, GREATEST(0, CASE WHEN p > sd THEN 0 ELSE p END + value - mu - 0.5::DOUBLE * sd), GREATEST(0, CASE WHEN m > sd THEN 0 ELSE m END + mu - value - 0.5::DOUBLE * sd) FROM r JOIN history h ON h.series = r.series AND h.idx = r.idx + 1 JOIN st ON st.series = h.series) SELECT r.series, idx, 'up' AS direction, round(p / sd, 6) AS magnitude FROM r JOIN st USING (series) WHERE p > sd UNION ALL SELECT r.series, idx, 'down', round(m / sd, 6) FROM r JOIN st USING (series) WHERE m > sd")(
+    lambda m: stats.cusum(m.history, h=1.0)
 )
-query("cusum")(lambda m: stats.cusum(m.history, h=1.0))
-query("sparkline")(lambda m: stats.sparkline(m.history))
-query("alerts", f"{_Z} SELECT series, idx AS last, value, round(z, 4) AS z, CASE WHEN abs(z) > 3 THEN 'CRITICAL' ELSE 'WARNING' END AS level FROM z QUALIFY idx = MAX(idx) OVER (PARTITION BY series) AND abs(z) > 0.1")(
-    lambda m: stats.alerts(m.history, threshold=0.1).filter("abs(z) > 0.1").select("series", "last", "value", F.round("z", 4).alias("z"), "level")
+query("sparkline", "WITH t AS (SELECT series, list(value ORDER BY idx)[-8:] AS t FROM history GROUP BY series), x AS (SELECT *, list_min(t) AS low, list_max(t) AS high FROM t) SELECT series, array_to_string(list_transform(t, lambda v: substr('▁▂▃▄▅▆▇█', CASE WHEN high = low THEN 4 ELSE CAST(floor((v - low) / (high - low) * 7 + 0.5) AS INT) + 1 END, 1)), '') AS spark, CASE WHEN c > 0.02 THEN 'up' WHEN c < -0.02 THEN 'down' ELSE 'flat' END AS direction FROM (SELECT *, CASE WHEN t[1] = 0 THEN sign(t[-1]) ELSE (t[-1] - t[1]) / abs(t[1]) END AS c FROM x)")(
+    lambda m: stats.sparkline(m.history)
+)
+query("alerts", f"{_Z.replace('history', 'prices')}, {_WE}, l AS (SELECT series, MAX(idx) AS last FROM prices GROUP BY series), f AS (SELECT we.series, MIN(rule) AS rule FROM we JOIN l USING (series) WHERE idx > last - 3 GROUP BY 1), x AS (SELECT z.series, last, value, z, rule, CASE WHEN abs(z) > 3 THEN 'CRITICAL' WHEN abs(z) > 1 THEN 'WARNING' WHEN rule IS NOT NULL THEN 'INFO' END AS level FROM z JOIN l ON z.series = l.series AND idx = last LEFT JOIN f ON f.series = z.series) SELECT series, last, value, round(z, 4) AS z, rule, level, CASE level WHEN 'CRITICAL' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END AS ord FROM x WHERE level IS NOT NULL")(
+    lambda m: stats.alerts(m.prices, threshold=1.0).withColumn("z", F.round("z", 4))
+)
+query("anomalies", f"WITH {_WE} SELECT series, idx, 'western' AS method, 'rule ' || rule AS detail FROM we")(
+    lambda m: stats.anomalies(m.prices, method="western")
 )
-query("anomalies")(lambda m: stats.anomalies(m.history))
 
 # graph
 
@@ -317,11 +332,19 @@ query("cycle_severity", "SELECT scc_id, COUNT(*) AS size, COUNT(DISTINCT regexp_
     lambda m: graph.annotate_cycles(graph.strong_components(m.graph, m.vertices), m.files).select("scc_id", "size", "dirs", "severity")
 )
 query("condensation", "SELECT src, dst FROM dag")(lambda m: graph.condensation(m.graph, graph.strong_components(m.graph, m.vertices)))
+query("scc_by_joins", "SELECT id, scc_id FROM scc")(lambda m: graph.strong_components(m.graph, m.vertices, small=0))
+query("layers_by_joins", "SELECT id, layer FROM layers")(lambda m: graph.layers(m.graph, graph.strong_components(m.graph, m.vertices), small=0))
+query("file_graph", "SELECT source_file_id AS src, target_file_id AS dst, kind, CAST(SUM(symbol_count) AS BIGINT) AS weight FROM file_edges GROUP BY ALL")(lambda m: graph.file_graph(m.file_edges, m.files))
 query("layers", "SELECT id, layer FROM layers")(lambda m: graph.layers(m.graph, graph.strong_components(m.graph, m.vertices)))
 query("layer_sizes", "SELECT layer, COUNT(*) AS n FROM layers GROUP BY layer")(lambda m: graph.layer_sizes(graph.layers(m.graph, graph.strong_components(m.graph, m.vertices))))
-query("layer_violations", "WITH l AS (SELECT s_suppkey AS id, s_nationkey % 5 AS layer FROM supplier) SELECT src, dst, a.layer AS from_layer, b.layer AS to_layer, a.layer - b.layer AS distance, round((a.layer - b.layer)::DOUBLE / (SELECT MAX(layer) FROM l), 6) AS severity FROM graph JOIN l a ON src = a.id JOIN l b ON dst = b.id WHERE a.layer > b.layer")(
+query("layer_violations", "WITH l AS (SELECT s_suppkey AS id, s_nationkey % 5 AS layer FROM supplier) SELECT src, dst, a.layer AS from_layer, b.layer AS to_layer, a.layer - b.layer AS distance, floor((a.layer - b.layer)::DOUBLE / GREATEST((SELECT MAX(layer) FROM l), 1) * 1000 + 0.5) / 1000 AS severity FROM graph JOIN l a ON src = a.id JOIN l b ON dst = b.id WHERE a.layer > b.layer")(
     lambda m: graph.layer_violations(m.graph, m.raw("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 5).alias("layer")))
 )
+_UP = "WITH RECURSIVE w AS (SELECT id AS node, 0 AS d FROM symbols UNION SELECT dst, d + 1 FROM w JOIN forest ON w.node = src)"
+query("forest_layers", f"{_UP} SELECT node AS id, MAX(d) AS layer FROM w GROUP BY node")(lambda m: graph.layers(m.forest, graph.strong_components(m.forest, m.symbols.select("id"))))
+query("forest_condensation", "SELECT src, dst FROM forest")(lambda m: graph.condensation(m.forest, graph.strong_components(m.forest, m.symbols.select("id"))))
+query("forest_order", f"{_UP} SELECT node, MAX(d) AS round FROM w GROUP BY node")(lambda m: graph.topological_order(m.forest, m.symbols.select(F.col("id").alias("node"))))
+query("forest_closure", f"{_UP}, p AS (SELECT src AS a, dst AS b FROM forest UNION SELECT p.a, dst FROM p JOIN forest ON p.b = src) SELECT a, b FROM p")(lambda m: graph.closure(m.forest))
 query("topological_order", "SELECT node, MAX(layer) AS round FROM walks GROUP BY node")(
     lambda m: (lambda s: graph.topological_order(graph.condensation(m.graph, s), s.select(F.col("scc_id").alias("node")).distinct()))(graph.strong_components(m.graph, m.vertices))
 )
@@ -339,13 +362,13 @@ def _pagerank_sql(rounds: int) -> str:
     return f"{out} SELECT id, round(r, 6) AS rank FROM r{rounds}"
 
 
-query("pagerank", _pagerank_sql(12))(lambda m: graph.pagerank(m.graph, m.vertices, 0.85, 12).select("id", F.round("rank", 6).alias("rank")))
-query("betweenness")(lambda m: graph.betweenness(m.whole_graph, m.vertices))
-query("k_paths", "WITH RECURSIVE p AS (SELECT [1, dst] AS path, dst AS tip FROM graph WHERE src = 1 UNION ALL SELECT list_append(path, dst), dst FROM p JOIN graph ON src = tip WHERE NOT list_contains(path, dst) AND len(path) <= 5 AND tip <> 30) SELECT CAST(len(path) - 1 AS BIGINT) AS hops, CAST(len(path) - 1 AS DOUBLE) AS cost, array_to_string(path, '>') AS path FROM p WHERE tip = 30 ORDER BY hops, path LIMIT 3")(
-    lambda m: graph.k_paths(m.graph.select("src", "dst"), 1, 30, 3, 5)
+query("pagerank", _pagerank_sql(24))(lambda m: graph.pagerank(m.graph, m.vertices, 0.85, tolerance=1e-10).select("id", F.round("rank", 6).alias("rank")))
+query("betweenness")(lambda m: graph.betweenness(m.graph, m.vertices))
+query("k_paths", "WITH RECURSIVE p AS (SELECT [1, dst] AS path, dst AS tip FROM graph WHERE src = 1 UNION ALL SELECT list_append(path, dst), dst FROM p JOIN graph ON src = tip WHERE NOT list_contains(path, dst) AND len(path) <= 2 AND tip <> (SELECT MAX(id) - 1 FROM vertices)) SELECT CAST(len(path) - 1 AS BIGINT) AS hops, CAST(len(path) - 1 AS DOUBLE) AS cost, array_to_string(path, '>') AS path FROM p WHERE tip = (SELECT MAX(id) - 1 FROM vertices) ORDER BY hops, path LIMIT 3")(
+    lambda m: graph.k_paths(m.graph.select("src", "dst"), 1, m.vertices.agg(F.max("id")).first()[0] - 1, 3)
 )
-query("louvain")(lambda m: graph.louvain(m.whole_graph, m.vertices))
-query("label_propagation")(lambda m: graph.label_propagation(m.whole_graph, m.vertices))
+query("louvain")(lambda m: graph.louvain(m.graph, m.vertices))
+query("label_propagation")(lambda m: graph.label_propagation(m.graph, m.vertices))
 _NAT = "WITH c AS (SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS cluster_id FROM supplier)"
 _nat = lambda m: m.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("cluster_id"))
 query("cohesion", f"{_NAT} SELECT a.cluster_id, CAST(COUNT(*) FILTER (a.cluster_id = b.cluster_id) AS BIGINT) AS inside, COUNT(*) AS total, CAST(floor(COUNT(*) FILTER (a.cluster_id = b.cluster_id) * 100.0::DOUBLE / COUNT(*) + 0.5) AS BIGINT) AS cohesion FROM graph JOIN c a ON src = a.id JOIN c b ON dst = b.id GROUP BY 1")(lambda m: graph.cohesion(m.graph, _nat(m)))
@@ -362,17 +385,26 @@ query("affected_tests", "WITH RECURSIVE r AS (SELECT source_id AS id, 1 AS d FRO
 query("indent_complexity", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), i AS (SELECT doc_id, length(regexp_extract(line, '^[ \\t]*')) - length(replace(regexp_extract(line, '^[ \\t]*'), chr(9), '')) + (length(replace(regexp_extract(line, '^[ \\t]*'), chr(9), ''))) / 4.0::DOUBLE AS ind FROM l WHERE trim(line, ' ' || chr(9) || chr(10) || chr(13)) <> '') SELECT doc_id AS id, floor(AVG(ind) * MAX(ind) * 100 + 0.5) / 100 AS complexity FROM i GROUP BY doc_id")(
     lambda m: complexity.indent_complexity(m.raw("documents").select(F.col("doc_id").alias("id"), "text"))
 )
-query("text_complexity", "SELECT doc_id AS id, CAST(len(regexp_extract_all(text, '\\b(and|or)\\b|&&|[|][|]')) AS BIGINT) AS bool_ops, CAST(len(regexp_extract_all(text, '\\breturn\\b')) AS BIGINT) AS returns, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines FROM documents")(
-    lambda m: complexity.text_complexity(m.raw("documents").select(F.col("doc_id").alias("id"), "text")).select("id", "bool_ops", "returns", "lines")
+query("text_complexity", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), d AS (SELECT doc_id, floor(MAX(length(replace(regexp_extract(line, '^[ \\t]*'), ' ', '')) + length(replace(regexp_extract(line, '^[ \\t]*'), chr(9), '')) / 4.0::DOUBLE)) AS depth FROM l WHERE trim(line, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY 1), t AS (SELECT doc_id AS id, CAST(len(regexp_extract_all(text, '\\b(and|or)\\b|&&|[|][|]')) AS BIGINT) AS bool_ops, CAST(len(regexp_extract_all(text, '\\breturn\\b')) AS BIGINT) AS returns, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, CAST(COALESCE(depth, 0) AS BIGINT) AS depth FROM documents LEFT JOIN d USING (doc_id)) SELECT *, CAST(2 * depth + bool_ops + GREATEST(returns - 1, 0) AS DOUBLE) AS cognitive, round((2 * depth + bool_ops + GREATEST(returns - 1, 0))::DOUBLE / GREATEST(lines, 1), 4) AS density FROM t")(
+    lambda m: complexity.text_complexity(m.raw("documents").select(F.col("doc_id").alias("id"), "text"))
 )
 query("html_references", "SELECT page_id, h AS target FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1)) AS h FROM pages)")(
     lambda m: m.raw("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*?href="([^"]*)"'), F.lit(1))).alias("target"))
 )
-query("vue_template_refs")(lambda m: resolve.template_refs(m.raw("pages").select(F.col("url").alias("path"), F.concat(F.lit("<template>"), "html", F.lit("</template>")).alias("content"))))
+def _templates(m: Model) -> DataFrame:
+    """A component's template for each page, with the page's own words."""
+    w = lambda k: F.get(F.regexp_extract_all("html", F.lit("[A-Za-z]+"), F.lit(0)), F.lit(k))
+    text = F.concat(F.lit("<script>let x = 1</script><template><div>{{ v"), w(4), F.lit(' }}<p :class="c'), w(5), F.lit('" @click="h'), w(6), F.lit('"/><T'), w(7), F.lit("/>{{ v"), w(4), F.lit(" }}</div></template>"))
+    return m.raw("pages").select(F.col("url").alias("path"), text.alias("content"))
+
+
+query("vue_template_refs", "WITH w AS (SELECT url, regexp_extract_all(html, '[A-Za-z]+') AS w FROM pages), c AS (SELECT url, ['v' || w[5], 'c' || w[6], 'h' || w[7], 'T' || w[8], 'v' || w[5]] AS names FROM w) SELECT url AS path, row_number() OVER (PARTITION BY url ORDER BY k) - 1 AS ordinal, n AS target_name, 'template' AS kind FROM (SELECT url, n, MIN(k) AS k FROM (SELECT url, unnest(names) AS n, unnest(range(5)) AS k FROM c) GROUP BY ALL)")(
+    lambda m: resolve.template_refs(_templates(m))
+)
 query("file_roles", "SELECT page_id, CASE WHEN regexp_matches(path, '(^|/)(test|tests|__tests__|spec|specs)/') THEN 'test' ELSE 'source' END AS role FROM (SELECT page_id, 'src/' || CASE WHEN page_id % 3 = 0 THEN 'tests/' ELSE 'app/' END || page_id || '.py' AS path FROM pages)")(
     lambda m: m.raw("pages").select("page_id", classify.role(F.concat(F.lit("src/"), F.when(F.col("page_id") % 3 == 0, "tests/").otherwise("app/"), F.col("page_id").cast("string"), F.lit(".py"))).alias("role"))
 )
-query("resolve_references", "WITH r AS (SELECT l_orderkey * 100 + l_linenumber AS ref, MIN(l_suppkey) AS file_id, MIN(l_partkey) AS target FROM lineitem WHERE l_orderkey < 2000 GROUP BY ALL), c AS (SELECT r.ref, s.id, row_number() OVER (PARTITION BY r.ref ORDER BY CASE WHEN s.file_id = r.file_id THEN 0 ELSE 1 END, CASE WHEN regexp_replace(f.path, '/[^/]*$', '') = regexp_replace(g.path, '/[^/]*$', '') THEN 0 ELSE 1 END, 1 - is_exported, s.id) AS k FROM r JOIN part p ON r.target = p_partkey JOIN symbols s ON s.name = p_name JOIN files f ON s.file_id = f.id JOIN files g ON r.file_id = g.id) SELECT ref, id AS target_id FROM c WHERE k = 1")(
+query("resolve_references", "WITH r AS (SELECT l_orderkey * 100 + l_linenumber AS ref, MIN(l_suppkey) AS file_id, MIN(l_partkey) AS target FROM lineitem GROUP BY ALL), c AS (SELECT r.ref, s.id, row_number() OVER (PARTITION BY r.ref ORDER BY CASE WHEN s.file_id = r.file_id THEN 0 ELSE 1 END, CASE WHEN regexp_replace(f.path, '/[^/]*$', '') = regexp_replace(g.path, '/[^/]*$', '') THEN 0 ELSE 1 END, 1 - is_exported, s.id) AS k FROM r JOIN part p ON r.target = p_partkey JOIN symbols s ON s.name = p_name JOIN files f ON s.file_id = f.id JOIN files g ON r.file_id = g.id) SELECT ref, id AS target_id FROM c WHERE k = 1")(
     lambda m: resolve.nearest_homonym(
         m.raw("lineitem").groupBy((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ref")).agg(F.min("l_suppkey").alias("file_id"), F.min("l_partkey").alias("p_partkey")).join(m.raw("part").select("p_partkey", F.col("p_name").alias("target_name")), "p_partkey").select("ref", "file_id", "target_name"),
         m.symbols, m.files,
@@ -391,3 +423,12 @@ query("file_edges", "SELECT source_file_id, target_file_id, symbol_count FROM fi
 query("path_set_algebra", "SELECT 'both' AS part, COUNT(*) AS n FROM (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 1 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7) UNION ALL SELECT 'first', COUNT(*) FROM (SELECT l_partkey FROM lineitem WHERE l_linenumber = 1 EXCEPT SELECT l_partkey FROM lineitem WHERE l_linenumber = 7)")(
     lambda m: incremental.part_sizes(m.raw("lineitem"))
 )
+
+
+query("resolve_edges", "WITH sc AS (SELECT s.*, f.path, regexp_replace(f.path, '/[^/]*$', '') AS dir, regexp_extract(qualified_name, '^(.*)(?:::|[.])[^.:]+$', 1) AS scope FROM symbols s JOIN files f ON s.file_id = f.id), by_name AS (SELECT ref, arg_min(id, CASE WHEN source_name = qualified_name THEN 0 ELSE 1000000000 END + id) AS id FROM code_refs r JOIN symbols s ON s.file_id = r.ref_file AND source_name IN (s.name, s.qualified_name) GROUP BY ref), by_line AS (SELECT ref, arg_min(id, CASE WHEN r.line BETWEEN line_start AND line_end THEN -1000 - line_start ELSE line_start END * 1000000 + id) AS id FROM code_refs r JOIN symbols s ON s.file_id = r.ref_file GROUP BY ref), src AS (SELECT r.*, COALESCE(n.id, l.id) AS source_id FROM code_refs r LEFT JOIN by_name n USING (ref) LEFT JOIN by_line l USING (ref)), asks AS (SELECT src.*, sc.scope AS source_scope, f.path AS source_file, regexp_replace(f.path, '/[^/]*$', '') AS source_dir FROM src JOIN sc ON src.source_id = sc.id JOIN files f ON src.ref_file = f.id), cand AS (SELECT a.*, t.id AS target_id, CASE WHEN t.qualified_name = a.target_name THEN 1 WHEN t.name = a.target_name THEN 2 ELSE 3 END AS tier, t.kind AS t_kind, t.file_id AS t_file, t.scope AS t_scope, t.dir AS t_dir, t.path AS t_path, t.is_exported AS t_exp FROM asks a JOIN sc t ON lower(CASE WHEN a.target_name LIKE 'Brand#%.%' THEN split_part(a.target_name, '.', 2) ELSE a.target_name END) = lower(t.name) WHERE a.target_name NOT LIKE 'Brand#%.%' OR t.qualified_name = a.target_name), best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY ref ORDER BY tier, CASE WHEN kind = 'call' AND regexp_matches(target_name, '^[A-Z]') AND t_kind IN ('class', 'struct', 'interface') THEN 0 ELSE 1 END, CASE WHEN t_file = ref_file THEN 0 ELSE 1 END, CASE WHEN t_file = ref_file AND source_scope <> '' AND t_scope = source_scope THEN 0 ELSE 1 END, CASE WHEN t_dir = source_dir THEN 0 ELSE 1 END, CASE WHEN import_path <> '' AND '/' || t_path LIKE '%/' || import_path || '/%' THEN 0 ELSE 1 END, t_exp DESC, target_id) = 1) SELECT source_id, target_id, kind, line FROM best WHERE source_id <> target_id QUALIFY row_number() OVER (PARTITION BY source_id, target_id, kind ORDER BY line, ref) = 1")(
+    lambda m: resolve.resolve(m.references, m.symbols, m.files)
+)
+_PATHS = "test/a.x tests/b/c.py src/__tests__/x.js test_a.py a_test.go a.spec.ts FooTest.java vendor/x/y.go node_modules/a/b.js .github/workflows/ci.yml .travis.yml Jenkinsfile dist/a.js Makefile Dockerfile setup.py a.pb.go b_pb2.py c.min.js README.md LICENSE docs/x.rst package.json tsconfig.json pyproject.toml a.ini b.yaml logo.png t.csv d.json x.sqlite documentation/a.py examples/e.py sample/x.py scripts/run.py bin/tool tools/t.go config/app.rb conf/x.unknown settings/s.py src/main.c lib/a.rs x"
+query("file_role_rules", f"SELECT p AS path, CASE WHEN regexp_matches(p, '(^|/)(vendor|node_modules|third_party|bower_components|external)/') THEN 'vendored' WHEN regexp_matches(p, '(^|/)(test|tests|__tests__|spec|specs)/') OR regexp_matches(b, '^test_.*[.]py$|_test[.](py|go|rb)$|[.](test|spec)[.][jt]sx?$|Tests?[.](java|cs|cls|kt)$') THEN 'test' WHEN regexp_matches(p, '^([.]github/workflows|[.]circleci|[.]gitlab)/') OR lower(b) IN ('.travis.yml', 'jenkinsfile') THEN 'ci' WHEN regexp_matches(p, '(^|/)(dist|build|out|target)/') OR lower(b) IN ('makefile', 'dockerfile', 'setup.py') THEN 'build' WHEN regexp_matches(lower(b), '([.]pb[.](go|cc|h)|_pb2(_grpc)?[.]py|[.]min[.](js|css))$') THEN 'generated' WHEN regexp_matches(lower(b), '^(readme|license|changelog)([.].*)?$') OR regexp_matches(lower(b), '[.](md|rst|adoc)$') THEN 'docs' WHEN lower(b) IN ('package.json', 'tsconfig.json', 'pyproject.toml') OR regexp_matches(lower(b), '[.](ini|cfg|conf|toml|ya?ml|properties|env)$') THEN 'config' WHEN regexp_matches(lower(b), '[.](png|jpe?g|gif|svg|csv|tsv|json|xml|sqlite|db)$') THEN 'data' WHEN regexp_matches(p, '(^|/)(docs?|documentation)/') THEN 'docs' WHEN regexp_matches(p, '(^|/)(examples?|samples?|demos?)/') THEN 'examples' WHEN regexp_matches(p, '(^|/)(scripts?|bin|tools)/') THEN 'scripts' WHEN regexp_matches(p, '(^|/)(config|conf|settings)/') AND NOT regexp_matches(lower(b), '[.](py|rb|go|js|ts|c|rs)$') THEN 'config' ELSE 'source' END AS role FROM (SELECT p, regexp_replace(p, '^.*/', '') AS b FROM (SELECT unnest(string_split('{_PATHS}', ' ')) AS p))")(
+    lambda m: m.spark.createDataFrame([(p,) for p in _PATHS.split()], "path string").select("path", classify.role("path").alias("role"))
+)

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arborlake.functions import classify, stats
@@ -139,11 +140,13 @@ def trace(s: Store, source: str, target: str, k: int = 3) -> Report:
     a, b = _find(s, source).first(), _find(s, target).first()
     if a is None or b is None:
         return Report("trace", {}, {"error": "no such symbol"}, failed=True)
-    paths = graph.k_paths(_edges(s), a.id, b.id, k)
-    if paths.isEmpty():
-        e = _edges(s)
-        paths = graph.k_paths(e.unionByName(graph.reverse(e).join(e.select("kind", F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])), a.id, b.id, 1)
-    return Report("trace", {"paths": graph.trace(paths, s.get("graph_metrics").withColumnRenamed("symbol_id", "id")).orderBy("hops", "cost", "path")}, {"from": source, "to": target})
+    e = _edges(s)
+    paths = graph.k_paths(e, a.id, b.id, k)
+    if paths.isEmpty():  # one path whichever way the edges point
+        paths = graph.k_paths(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind")), a.id, b.id, 1)
+    scored = graph.trace(paths, s.get("graph_metrics").withColumnRenamed("symbol_id", "id"))
+    steps = graph.annotate_paths(paths, s.get("symbols"), s.get("files"))
+    return Report("trace", {"paths": scored.orderBy("hops", "cost", "path"), "steps": steps.orderBy("path", "step")}, {"from": source, "to": target})
 
 
 TASKS = ("refactor", "debug", "extend", "review", "understand")
@@ -185,24 +188,34 @@ def diff(s: Store, paths: list[str], coupling: bool = False) -> Report:
     return Report("diff", tables, {"files": len(paths)})
 
 
+LEVELS = ("OK", "LOW", "MEDIUM", "HIGH", "CRITICAL")
+
+
 @command
 def preflight(s: Store, paths: list[str]) -> Report:
+    """Six checks of what is about to be committed: reach, tests, complexity, partners left out, conventions, kinds of file."""
     c = _changed(s, paths)
     syms = _symbols_of(s, c)
-    n = lambda df: F.lit(_value(df.agg(F.count("*"))) or 0)
-    blast = F.lit(_value(graph.blast_radius(_edges(s), _ids(s, syms), s.get("symbols"))) or 0)
-    worst = F.coalesce(F.lit(_value(s.get("symbol_metrics").join(syms.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi").agg(F.max("cognitive_complexity")))), F.lit(0))
-    missing = n(relational.missing_partners(s.get("git_cochange"), c, 3))
-    naming = n(relational.convention_violations(s.get("symbols")).join(syms.select("id"), "id", "left_semi"))
-    failed = n(scoring.gates(_metrics(s)).filter("NOT passed"))
-    tests = n(scoring.affected_tests(s.get("edges"), s.get("symbols"), s.get("files"), syms))
-    step = lambda x, *at: F.when(x >= at[0], "HIGH").when(x >= at[1], "MEDIUM").when(x >= at[2], "LOW").otherwise("OK")
-    checks = {"blast": scoring.blast_class(blast), "tests": F.when(tests == 0, "MEDIUM").otherwise("OK"), "complexity": step(worst, 50, 25, 10), "coupling": step(missing, 5, 2, 1), "conventions": step(naming, 10, 5, 1), "fitness": step(failed, 3, 2, 1)}
-    one = s.spark.range(1)
-    table = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("level")) for k, v in checks.items()])).alias("c")).select("c.*")
-    order = F.element_at(F.create_map(*[F.lit(x) for k, name in enumerate(("OK", "LOW", "MEDIUM", "HIGH", "CRITICAL")) for x in (name, k)]), F.col("level"))
-    worst_level = table.withColumn("o", order).orderBy(F.desc("o")).first().level
-    return Report("preflight", {"checks": table}, {"risk": worst_level})
+    count = lambda df: _value(df.agg(F.count("*"))) or 0
+    level = lambda x, *at: next((LEVELS[-1 - k] for k, least in enumerate(at) if least is not None and x >= least), "OK")
+    exported = syms.filter("is_exported = 1")
+    blast, n_files = graph.blast_radius(_edges(s), _ids(s, exported), s.get("symbols"), 8).first()
+    has_exports = not exported.isEmpty()
+    tests = count(scoring.affected_tests(s.get("edges"), s.get("symbols"), s.get("files"), exported).filter("evidence <> 'colocated'")) if has_exports else 0
+    worst = _value(s.get("symbol_metrics").join(syms.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi").agg(F.max("cognitive_complexity"))) or 0
+    missing = count(relational.missing_partners(s.get("git_cochange"), c, 1).withColumn("_rn", F.row_number().over(W.partitionBy("file_id").orderBy(F.desc("cochange_count"), "partner"))).filter("_rn <= 5"))
+    is_test, low_risk = classify.is_test("path"), classify.is_low_risk("path")
+    kinds = c.agg(F.count_if(is_test).alias("tests"), F.count_if(low_risk).alias("low"), F.count_if(~is_test & ~low_risk).alias("code"), F.count("*").alias("n")).first()
+    checks = [
+        ("blast radius", level(blast, 50, 20, 5, 1), f"{blast} symbols, {n_files} files affected"),
+        ("test coverage", "MEDIUM" if has_exports and not tests else "OK", f"{tests} tests cover changed code" if tests else "no tests found for changed exports" if has_exports else "no exports changed"),
+        ("complexity", level(worst, None, 50, 25, 10), f"greatest cognitive complexity: {worst:g}"),
+        ("coupling", level(missing, None, 5, 2, 1), f"{missing} files that mostly change along are left out"),
+        ("conventions", "OK" if not kinds.code or tests else "LOW", "tests go with the code" if not kinds.code or tests else f"{kinds.code} code files without tests"),
+        ("fitness", "OK", f"{kinds.n - kinds.low - kinds.tests} code, {kinds.tests} test, {kinds.low} low-risk files"),
+    ]
+    worst_level = max((x[1] for x in checks), key=LEVELS.index)
+    return Report("preflight", {"checks": s.spark.createDataFrame(checks, "check string, level string, detail string")}, {"risk": worst_level, "files": kinds.n, "symbols": count(syms)})
 
 
 @command
@@ -242,17 +255,9 @@ def risk(s: Store, limit: int = 20) -> Report:
 
 
 def _metrics(s: Store) -> DataFrame:
-    """The gates' metrics, one row each."""
-    scc = s.get("scc")
-    one = s.get("symbol_metrics").agg(F.avg("cognitive_complexity").alias("avg_complexity"), F.max("cognitive_complexity").alias("max_complexity")).first()
-    files, symbols = (s.get(t).count() for t in ("files", "symbols"))
-    ranked = relational.ranked(s.get("symbols"), s.get("files"), s.get("graph_metrics"), [(F.col("in_degree") + F.col("out_degree")).desc()], 50)
-    values = {
-        "avg_complexity": one.avg_complexity, "max_complexity": one.max_complexity, "dead_pct": relational.dead_exports(s.get("symbols"), s.get("edges"), s.get("files")).count() * 100 / max(1, symbols),
-        "test_ratio": s.get("files").filter("file_role = 'test'").count() / max(1, files), "cycle_count": graph.cycles(scc).count(), "tangle_ratio": graph.tangle(scc).first().tangle_ratio,
-        "coupling_density": scoring.coupling_density(s.get("git_cochange"), s.get("files")).first().density, "god_components": scoring.god_components(ranked).count(),
-    }
-    return s.spark.createDataFrame([(k, None if v is None else float(v)) for k, v in values.items()], "metric string, value double")
+    """The gates' metrics, one row each, computed once."""
+    m = scoring.project_metrics(s.get("files"), s.get("symbols"), s.get("edges"), s.get("symbol_metrics"), s.get("graph_metrics"), s.get("git_cochange"), s.get("scc"))
+    return s.spark.createDataFrame(m.collect(), "metric string, value double")
 
 
 @command
@@ -260,37 +265,57 @@ def fitness(s: Store, preset: str = "default", record: bool = False, now: int =
     m = _metrics(s)
     g = scoring.gates(m, preset)
     v = {r.metric: r.value for r in m.collect()}
-    wide = s.spark.createDataFrame([(v["avg_complexity"] or 0.0, v["dead_pct"], v["cycle_count"], v["test_ratio"], v["god_components"])], "avg_complexity double, dead_pct double, cycles double, test_ratio double, god double")
+    wide = s.spark.createDataFrame([tuple(v[k] for k in scoring.QUICK)], ", ".join(f"{k} double" for k in scoring.QUICK))
     if record:
         row = s.spark.createDataFrame([(now, now, s.get("files").count(), s.get("symbols").count(), *v.values())], "id long, timestamp long, file_count long, symbol_count long, " + ", ".join(f"{k} double" for k in v))
         try:
             old = s.get("metrics_history")
         except FileNotFoundError:
             old = row.limit(0).withColumn("extra_json", F.lit(None).cast("string"))
-        s.put("metrics_history_next", append_snapshot(old, row))
-        s.put("metrics_history", s.get("metrics_history_next"))
+        s.put("metrics_history", append_snapshot(old, row))
     failed = g.filter("NOT passed").count()
     return Report("fitness", {"gates": g}, {"quick_health": scoring.quick_health(wide).first().quick_health, "failed": failed}, sarif=lambda t: reports.gates_sarif(t["gates"]), failed=failed > 0)
 
 
 @command
-def health(s: Store) -> Report:
+def health(s: Store, no_framework: bool = False) -> Report:
+    """Cycles, god components, bottlenecks and layer violations, their severities, and one score."""
     scc, ranked = s.get("scc"), lambda o, n: relational.ranked(s.get("symbols"), s.get("files"), s.get("graph_metrics"), o, n)
     gods = scoring.god_components(ranked([(F.col("in_degree") + F.col("out_degree")).desc()], 50))
     necks = scoring.bottlenecks(ranked([F.desc("betweenness")], 15), s.get("graph_metrics"))
+    if no_framework:
+        gods, necks = scoring.without_frameworks(gods), scoring.without_frameworks(necks)
     places = s.get("symbols").select("id", "file_id").join(s.get("files").select(F.col("id").alias("file_id"), "path"), "file_id").select("id", "path")
     cycles = graph.annotate_cycles(scc, places)
     weak = graph.weakest_edges(_edges(s), scc).join(cycles.filter("size >= 3").select("scc_id"), "scc_id", "left_semi")
-    n = lambda df, c=None: df.filter(c).count() if c else df.count()
-    crit = "severity = 'CRITICAL'"
-    violations = n(graph.layer_violations(_edges(s), s.get("layers")))
-    v = s.spark.createDataFrame([(float(graph.tangle(scc).first().tangle_ratio or 0), n(gods, crit), n(gods), n(necks, crit), n(necks), violations, None)], "tangle double, god_critical long, god long, neck_critical long, neck long, violations long, avg_health double")
-    return Report("health", {"cycles": cycles, "god_components": gods.select("id", "name", "file_path", "degree", "severity"), "bottlenecks": necks.select("id", "name", "file_path", "betweenness", "severity"), "cut": weak}, {"health": scoring.health(v).first().health}, sarif=lambda t: reports.health_sarif(t["cycles"], t["god_components"], t["bottlenecks"]))
+    violations = graph.layer_violations(_edges(s), s.get("layers"))
+    place = relational.with_path(s.get("symbols"), s.get("files"))
+    violations = violations.join(place.select(F.col("id").alias("src"), F.col("name").alias("source"), "file_path"), "src").join(place.select(F.col("id").alias("dst"), F.col("name").alias("target")), "dst")
+    n_violations = violations.count()
+    tally = {"CRITICAL": 0, "WARNING": n_violations, "INFO": 0}
+    counts = {}
+    for name, df in (("cycles", cycles), ("gods", gods), ("necks", necks)):
+        counts[name] = {r.severity: r["count"] for r in df.groupBy("severity").count().collect()}
+        for k, n in counts[name].items():
+            tally[k] += n
+    of_files = _value(s.get("file_stats").agg(F.avg("health_score"))) if "health_score" in s.get("file_stats").columns else None
+    total = lambda name: sum(counts[name].values())
+    row = (float(graph.tangle(scc).first().tangle_ratio or 0), counts["gods"].get("CRITICAL", 0), total("gods"), counts["necks"].get("CRITICAL", 0), total("necks"), n_violations, of_files)
+    v = s.spark.createDataFrame([row], "tangle double, god_critical long, god long, neck_critical long, neck long, violations long, avg_health double")
+    score = scoring.health(v).first().health
+    first = F.when(F.col("category") == "actionable", 0).otherwise(1)
+    tables = {
+        "cycles": cycles.orderBy(F.desc("size"), "scc_id"), "god_components": gods.select("id", "name", "file_path", "degree", "category", "severity").orderBy(first, F.desc("degree"), "id"),
+        "bottlenecks": necks.select("id", "name", "file_path", "betweenness", "category", "severity").orderBy(first, F.desc("betweenness"), "id"), "violations": violations.orderBy(F.desc("severity"), "src", "dst"), "cut": weak,
+    }
+    summary = {"health": score, "verdict": scoring.verdict(score, tally["CRITICAL"], tally["WARNING"]), "tangle_ratio": row[0], "propagation_cost": graph.propagation_cost(_edges(s), s.get("symbols"), scc).first().propagation_cost, "severities": tally}
+    return Report("health", tables, summary, sarif=lambda t: reports.health_sarif(t["cycles"], t["god_components"], t["bottlenecks"], t["violations"]))
 
 
 @command
 def conventions(s: Store) -> Report:
-    bad = relational.convention_violations(s.get("symbols")).join(relational.with_path(s.get("symbols"), s.get("files")).select("id", "file_path"), "id")
+    named = relational.with_path(s.get("symbols"), s.get("files"))
+    bad = relational.convention_violations(named).join(named.select("id", "file_path", "line_start"), "id")
     return Report("conventions", {"styles": relational.conventions(s.get("symbols")), "violations": bad}, {"violations": bad.count()}, sarif=lambda t: reports.convention_sarif(t["violations"]))
 
 
@@ -302,8 +327,8 @@ def breaking(s: Store, paths: list[str]) -> Report:
 
 
 @command
-def coverage_gaps(s: Store, limit: int = 20) -> Report:
-    g = scoring.coverage_gaps(s.get("symbols"), s.get("graph_metrics"), s.get("symbol_metrics"), s.get("edges"), s.get("files"))
+def coverage_gaps(s: Store, limit: int = 20, threshold: float = 0.0) -> Report:
+    g = scoring.coverage_gaps(s.get("symbols"), s.get("graph_metrics"), s.get("symbol_metrics"), s.get("edges"), s.get("files"), threshold=threshold)
     return Report("coverage-gaps", {"gaps": g.orderBy(F.desc("score"), "id").limit(limit)}, {"limit": limit})
 
 
@@ -314,14 +339,9 @@ def affected_tests(s: Store, paths: list[str], transitive: bool = True) -> Repor
 
 @command
 def pr_risk(s: Store, paths: list[str]) -> Report:
-    c = _changed(s, paths)
-    syms = _symbols_of(s, c)
-    blast = _value(graph.blast_radius(_edges(s), _ids(s, syms), s.get("symbols"))) or 0
-    brk = scoring.breaking(s.get("symbols"), s.get("edges"), c).count()
-    gaps = scoring.coverage_gaps(syms, s.get("graph_metrics"), s.get("symbol_metrics"), s.get("edges"), s.get("files")).count()
-    cx = s.get("symbol_metrics").filter("cognitive_complexity >= 15").join(syms.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi").count()
-    v = scoring.pr_risk(s.spark.createDataFrame([(blast, brk, gaps, cx, len(paths))], "blast long, breaking long, untested long, complex long, files long"))
-    return Report("pr-risk", {"risk": v}, v.first().asDict())
+    v = scoring.pr_risk(scoring.pr_facts(_changed(s, paths), s.get("symbols"), s.get("edges"), s.get("files"), s.get("graph_metrics"), s.get("symbol_metrics")))
+    one = v.first().asDict()
+    return Report("pr-risk", {"risk": s.spark.createDataFrame([one], v.schema)}, one)
 
 
 def _series(s: Store, since: int | None = None, limit: int = 50) -> DataFrame:

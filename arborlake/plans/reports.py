@@ -75,14 +75,15 @@ def result(rule: str, severity: str, message: str, locations: list[dict]) -> dic
     return {"ruleId": rule, "level": _LEVEL.get(severity, "note"), "message": {"text": message}, "locations": locations}
 
 
-def sarif(rules: dict[str, str], results: list[dict]) -> dict:
-    """A log with one run; rules: id to description."""
+def sarif(rules: dict[str, str], results: list[dict], kind: str = "analysis") -> dict:
+    """A log with one run; rules: id to description; kind names the run among others of the tool."""
     driver = {"name": TOOL, "version": __version__, "rules": [{"id": k, "shortDescription": {"text": v}} for k, v in rules.items()]}
-    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]}
+    run = {"tool": {"driver": driver}, "automationDetails": {"id": f"{TOOL}/{kind}"}, "invocations": [{"executionSuccessful": True}], "results": results}
+    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}
 
 
 def dead_sarif(rows: list[dict]) -> dict:
-    return sarif({"dead-code": "An export that nothing refers to"}, [result("dead-code", "WARNING", f"{r['kind']} {r['name']} is never referred to", [location(r["file_path"], r.get("line_start"))]) for r in rows])
+    return sarif({"dead-code": "An export that nothing refers to"}, [result("dead-code", "WARNING", f"{r['kind']} {r['name']} is never referred to", [location(r["file_path"], r.get("line_start"))]) for r in rows], "dead")
 
 
 def complexity_sarif(rows: list[dict], limit: float = 15) -> dict:
@@ -90,15 +91,16 @@ def complexity_sarif(rows: list[dict], limit: float = 15) -> dict:
 
 
 def convention_sarif(rows: list[dict]) -> dict:
-    return sarif({"naming": "A name that breaks its kind's convention"}, [result("naming", "INFO", f"{r['name']} is {r['style']}, {r['kind']}s here are {r['expected']}", [location(r["file_path"])]) for r in rows])
+    return sarif({"naming": "A name that breaks its kind's convention"}, [result("naming", "INFO", f"{r['name']} is {r['actual']}, {r['kind']}s in {r['language']} here are {r['expected']}", [location(r["file_path"], r.get("line_start"))]) for r in rows], "conventions")
 
 
-def health_sarif(cycles: list[dict], gods: list[dict], necks: list[dict]) -> dict:
-    rules = {"cycle": "A dependency cycle", "god-component": "A symbol of very many edges", "bottleneck": "A symbol on very many paths"}
+def health_sarif(cycles: list[dict], gods: list[dict], necks: list[dict], violations: list[dict] = ()) -> dict:
+    rules = {"cycle": "A dependency cycle", "god-component": "A symbol of very many edges", "bottleneck": "A symbol on very many paths", "layer-violation": "A dependency against the layers"}
     found = [result("cycle", r["severity"], f"cycle of {r['size']}", [location(p) for p in r.get("paths", [])]) for r in cycles]
     found += [result("god-component", r["severity"], f"{r['name']}: {r['degree']} edges", [location(r["file_path"])]) for r in gods]
     found += [result("bottleneck", r["severity"], f"{r['name']}: betweenness {r['betweenness']:g}", [location(r["file_path"])]) for r in necks]
-    return sarif(rules, found)
+    found += [result("layer-violation", "WARNING", f"{r['source']} (layer {r['from_layer']}) needs {r['target']} (layer {r['to_layer']})", [location(r["file_path"])]) for r in violations]
+    return sarif(rules, found, "health")
 
 
 def gates_sarif(rows: list[dict]) -> dict:

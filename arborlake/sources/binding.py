@@ -40,7 +40,8 @@ class Model:
         s, n, r = self.raw("supplier"), self.raw("nation"), self.raw("region")
         joined = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
         return joined.select(
-            F.col("s_suppkey").alias("id"), F.concat_ws("/", "r_name", "n_name", "s_name").alias("path"), F.col("r_name").alias("language"),
+            F.col("s_suppkey").alias("id"), F.concat_ws("/", "r_name", "n_name", F.when(F.col("s_suppkey") % 7 == 0, "lib"), F.concat("s_name", F.when(F.col("s_suppkey") % 5 == 0, "_test.py").otherwise(""))).alias("path"),
+            F.col("r_name").alias("language"),
             F.when(F.col("s_suppkey") % 5 == 0, "test").when(F.col("s_suppkey") % 7 == 0, "docs").otherwise("source").alias("file_role"),
             F.floor(F.abs("s_acctbal") / 10).cast("long").alias("line_count"),
         )
@@ -116,21 +117,20 @@ class Model:
         return self.raw("part").join(self.symbols.select(F.col("id").alias("p_partkey")), "p_partkey", "left_semi").select(F.col("p_partkey").alias("symbol_id"), F.expr("substring(p_brand, 7)").cast("long").alias("cluster_id"), F.col("p_brand").alias("cluster_label"))
 
     @cached_property
-    def whole_graph(self) -> DataFrame:
+    def graph(self) -> DataFrame:
         """src, dst, weight: all successions of suppliers."""
         return self._follows("l_suppkey").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
-    @cached_property
-    def graph(self) -> DataFrame:
-        """The heaviest of whole_graph, two for each supplier: a cut, as its SQL has it."""
-        from arborlake.operators.ranking import top_by_order
-
-        return top_by_order(self.whole_graph, [F.desc("weight"), F.asc("src"), F.asc("dst")], 2 * self.raw("supplier").count())
-
     @cached_property
     def vertices(self) -> DataFrame:
         return self.raw("supplier").select(F.col("s_suppkey").alias("id"))
 
+    @cached_property
+    def forest(self) -> DataFrame:
+        """src, dst: symbols and their parents, those that exist."""
+        s = self.symbols.select(F.col("id").alias("src"), F.col("parent_id").alias("dst"))
+        return s.join(self.symbols.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+
     @cached_property
     def history(self) -> DataFrame:
         """series, idx (day), value, n, mean."""
@@ -138,9 +138,36 @@ class Model:
         g = e.groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 4).alias("value"), F.count("*").alias("n"), F.avg("value").alias("mean"))
         return g.select("series", (F.row_number().over(W.partitionBy("series").orderBy("day")) - 1).cast("long").alias("idx"), "day", "value", "n", "mean")
 
+    @cached_property
+    def prices(self) -> DataFrame:
+        """series (supplier), idx, value: the prices of its line items in order."""
+        at = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", *ORDER)) - 1
+        return self.raw("lineitem").select(F.col("l_suppkey").alias("series"), at.cast("long").alias("idx"), F.col("l_extendedprice").alias("value"))
+
+    @cached_property
+    def names(self) -> DataFrame:
+        """id, name, kind, is_exported, language: the symbols under names in the styles of code; every seventh in another style."""
+        a, b = F.split_part("name", F.lit(" "), F.lit(1)), F.split_part("name", F.lit(" "), F.lit(2))
+        upper = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 100))
+        camel, snake, pascal = F.concat(a, upper(b)), F.concat_ws("_", a, b), F.concat(upper(a), upper(b))
+        usual = F.when(F.col("kind") == "constant", F.upper(snake)).when(F.col("kind").isin("class", "interface"), pascal).when(F.col("language") == "ASIA", snake).otherwise(camel)
+        k = F.col("id") % 7
+        name = F.when(k == 3, snake).when(k == 4, pascal).when(k == 5, F.concat_ws("-", a, b)).when(k == 6, F.concat(F.lit("_"), snake)).otherwise(usual)
+        return self.symbols.join(self.files.select(F.col("id").alias("file_id"), "language"), "file_id").select("id", name.alias("name"), "kind", "is_exported", "language")
+
+    @cached_property
+    def references(self) -> DataFrame:
+        """ref, source_name, target_name, kind, line, import_path, source_file: each line item refers to its part, by one name or another."""
+        n, q = F.col("l_linenumber") % 4, F.col("l_orderkey") % 5
+        r = self.raw("lineitem").groupBy((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ref"), "l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"), F.min("l_quantity").cast("long").alias("line"))
+        r = r.join(self.raw("part").select(F.col("p_partkey").alias("p"), "p_name", "p_brand"), "p").join(self.files.select(F.col("id").alias("s"), F.col("path").alias("source_file")), "s")
+        target = F.when(q == 0, F.concat_ws(".", "p_brand", "p_name")).when(q == 1, F.upper("p_name")).otherwise(F.col("p_name"))
+        path = F.when(n == 1, F.concat(F.lit("NATION_"), (F.col("l_orderkey") % 25).cast("string")))
+        return r.select("ref", F.when(q == 2, F.col("p_name")).otherwise("").alias("source_name"), target.alias("target_name"), case(n, ["call", "import", "inherits", "reference"]).alias("kind"), "line", path.alias("import_path"), "source_file")
+
 
 SQL = {
-    "files": "SELECT s_suppkey AS id, r_name || '/' || n_name || '/' || s_name AS path, r_name AS language, CASE WHEN s_suppkey % 5 = 0 THEN 'test' WHEN s_suppkey % 7 = 0 THEN 'docs' ELSE 'source' END AS file_role, CAST(floor(abs(s_acctbal) / 10) AS BIGINT) AS line_count FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    "files": "SELECT s_suppkey AS id, r_name || '/' || n_name || '/' || CASE WHEN s_suppkey % 7 = 0 THEN 'lib/' ELSE '' END || s_name || CASE WHEN s_suppkey % 5 = 0 THEN '_test.py' ELSE '' END AS path, r_name AS language, CASE WHEN s_suppkey % 5 = 0 THEN 'test' WHEN s_suppkey % 7 = 0 THEN 'docs' ELSE 'source' END AS file_role, CAST(floor(abs(s_acctbal) / 10) AS BIGINT) AS line_count FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "modal": "SELECT l_partkey, arg_max(l_suppkey, n * 1000000000 - l_suppkey) AS file_id FROM (SELECT l_partkey, l_suppkey, COUNT(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_partkey",
     "symbols": "SELECT p_partkey AS id, file_id, p_name AS name, p_brand || '.' || p_name AS qualified_name, CASE p_size % 5 WHEN 0 THEN 'function' WHEN 1 THEN 'class' WHEN 2 THEN 'method' WHEN 3 THEN 'constant' ELSE 'interface' END AS kind, p_type AS signature, CAST(p_size AS BIGINT) AS line_start, CAST(p_size + p_partkey % 40 AS BIGINT) AS line_end, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS is_exported, CASE WHEN p_partkey % 4 > 0 THEN p_partkey - 1 END AS parent_id FROM part JOIN modal ON p_partkey = l_partkey",
     "part_follows": "SELECT * FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst, l_linenumber FROM lineitem) WHERE dst IS NOT NULL AND src <> dst",
@@ -156,7 +183,7 @@ SQL = {
     "degrees": "SELECT id, CAST(SUM(i) AS BIGINT) AS in_degree, CAST(SUM(o) AS BIGINT) AS out_degree FROM (SELECT target_id AS id, 1 AS i, 0 AS o FROM edges UNION ALL SELECT source_id, 0, 1 FROM edges) GROUP BY id",
     "graph_metrics": "SELECT s.id AS symbol_id, p_retailprice / 100000 AS pagerank, COALESCE(in_degree, 0) AS in_degree, COALESCE(out_degree, 0) AS out_degree, COALESCE(in_degree, 0) * COALESCE(out_degree, 0) / 8.0::DOUBLE AS betweenness FROM symbols s JOIN part ON s.id = p_partkey LEFT JOIN degrees d ON s.id = d.id",
     "clusters": "SELECT p_partkey AS symbol_id, CAST(substr(p_brand, 7) AS BIGINT) AS cluster_id, p_brand AS cluster_label FROM part WHERE p_partkey IN (SELECT id FROM symbols)",
-    "graph": "SELECT src, dst, COUNT(*) AS weight FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL ORDER BY weight DESC, src, dst LIMIT (SELECT 2 * COUNT(*) FROM supplier)",
+    "graph": "SELECT src, dst, COUNT(*) AS weight FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL",
     "vertices": "SELECT s_suppkey AS id FROM supplier",
     "reach": "SELECT src AS a, dst AS b FROM graph UNION SELECT r.a, g.dst FROM reach r JOIN graph g ON r.b = g.src",
     "scc": "SELECT v.id, COALESCE(MIN(LEAST(v.id, x.b)), v.id) AS scc_id FROM vertices v LEFT JOIN (SELECT r.a, r.b FROM reach r JOIN reach q ON r.a = q.b AND r.b = q.a) x ON v.id = x.a GROUP BY v.id",
@@ -164,6 +191,10 @@ SQL = {
     "walks": "SELECT DISTINCT scc_id AS node, 0 AS layer FROM scc UNION SELECT d.dst, w.layer + 1 FROM walks w JOIN dag d ON w.node = d.src",
     "layers": "SELECT s.id, CAST(MAX(w.layer) AS BIGINT) AS layer FROM scc s JOIN walks w ON s.scc_id = w.node GROUP BY s.id",
     "history": "SELECT series, row_number() OVER (PARTITION BY series ORDER BY day) - 1 AS idx, day, value, n, mean FROM (SELECT event_type AS series, CAST(ts AS DATE) AS day, round(SUM(value), 4) AS value, COUNT(*) AS n, AVG(value) AS mean FROM events GROUP BY ALL)",
+    "forest": "SELECT id AS src, parent_id AS dst FROM symbols WHERE parent_id IN (SELECT id FROM symbols)",
+    "prices": "SELECT l_suppkey AS series, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS idx, l_extendedprice AS value FROM lineitem",
+    "names": "SELECT id, CASE id % 7 WHEN 3 THEN a || '_' || b WHEN 4 THEN upper(a[1]) || a[2:] || upper(b[1]) || b[2:] WHEN 5 THEN a || '-' || b WHEN 6 THEN '_' || a || '_' || b ELSE CASE WHEN kind = 'constant' THEN upper(a || '_' || b) WHEN kind IN ('class', 'interface') THEN upper(a[1]) || a[2:] || upper(b[1]) || b[2:] WHEN language = 'ASIA' THEN a || '_' || b ELSE a || upper(b[1]) || b[2:] END END AS name, kind, is_exported, language FROM (SELECT s.id, s.kind, s.is_exported, f.language, split_part(s.name, ' ', 1) AS a, split_part(s.name, ' ', 2) AS b FROM symbols s JOIN files f ON s.file_id = f.id)",
+    "code_refs": "SELECT ref, CASE WHEN q = 2 THEN p_name ELSE '' END AS source_name, CASE q WHEN 0 THEN p_brand || '.' || p_name WHEN 1 THEN upper(p_name) ELSE p_name END AS target_name, CASE n WHEN 0 THEN 'call' WHEN 1 THEN 'import' WHEN 2 THEN 'inherits' ELSE 'reference' END AS kind, line, CASE WHEN n = 1 THEN 'NATION_' || CAST(o % 25 AS VARCHAR) ELSE '' END AS import_path, s AS ref_file FROM (SELECT l_orderkey * 100 + l_linenumber AS ref, l_orderkey AS o, l_linenumber % 4 AS n, l_orderkey % 5 AS q, MIN(l_suppkey) AS s, MIN(l_partkey) AS p, CAST(MIN(l_quantity) AS BIGINT) AS line FROM lineitem GROUP BY l_orderkey, l_linenumber) JOIN part ON p = p_partkey JOIN files f ON s = f.id",
 }
 
 

@@ -91,13 +91,12 @@ def decode(content: Column) -> Column:
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """The canonical file rows with their text: id by path order, language, role, sha-256, lines."""
+    """The canonical file rows with their text: an id from the path, language, role, sha-256, lines."""
     found = keep_sources(scan_tree(spark, root)).withColumn("text", decode(F.col("content")))
     listed = git_files(root)
     if listed is not None:
         found = found.join(spark.createDataFrame([(p,) for p in listed], "path string"), "path", "left_semi")
-    ids = found.select("path").withColumn("id", F.row_number().over(W.orderBy("path")).cast("long"))
-    return found.join(ids, "path").select("id", "path", language("path").alias("language"), role(F.col("path"), F.col("text")).alias("file_role"), F.sha2("content", 256).alias("hash"), "mtime", F.size(F.split("text", "\n", -1)).cast("long").alias("line_count"), "text")
+    return found.select(F.xxhash64("path").alias("id"), "path", language("path").alias("language"), role(F.col("path"), F.col("text")).alias("file_role"), F.sha2("content", 256).alias("hash"), "mtime", F.size(F.split("text", "\n", -1)).cast("long").alias("line_count"), "text")
 
 
 def git_log(spark: SparkSession, root: str, most: int = MAX_COMMITS) -> tuple[DataFrame, DataFrame]:

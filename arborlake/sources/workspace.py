@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.sources.repo import read_files
+from arborlake.sources.repo import git_log, read_files
 
 FILE = ".arborlake/workspace.json"
 
@@ -71,3 +71,14 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     for p in parts[1:]:
         all_ = all_.unionByName(p)
     return all_.withColumn("id", F.xxhash64("path"))
+
+
+def read_history(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Commits and changes of all projects that have a history, paths under their alias, hashes too, as projects may share commits."""
+    commits = changes = None
+    for r in resolve(root, load(root)):
+        if r["exists"]:
+            own = [df.withColumn("hash", F.concat(F.lit(r["alias"] + ":"), "hash")) for df in git_log(spark, r["path"])]
+            own[1] = own[1].withColumn("path", F.concat(F.lit(r["alias"] + "/"), "path"))
+            commits, changes = own if commits is None else (commits.unionByName(own[0]), changes.unionByName(own[1]))
+    return commits, changes

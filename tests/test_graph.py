@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,13 @@ def test_layers(spark, small):
         assert as_dict(graph.layers(e, graph.strong_components(e, v, small), small), "id", "layer") == want
 
 
+def test_ids_of_64_bits_stay_exact(spark):
+    big = 2**62
+    e, v = make(spark, [(big + a, big + b) for a, b in MIXED])
+    assert as_dict(graph.strong_components(e, v), "id", "scc_id") == {big + k: big + c for k, c in {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6}.items()}
+    assert set(as_dict(graph.louvain(e, v), "id", "cluster_id")) == {big + k for k in range(7)}
+
+
 def test_cycles_and_propagation(spark):
     e, v = make(spark, CYCLE)
     scc = graph.strong_components(e, v)
@@ -63,6 +71,50 @@ def test_paths(spark):
     assert graph.k_paths(e, 0, 9, 2).count() == 2 and graph.k_paths(e, 9, 0).count() == 0
 
 
+def test_paths_of_any_length(spark):
+    e, _ = make(spark, [(k, k + 1) for k in range(12)])
+    assert [(r.hops, r.path) for r in graph.k_paths(e, 0, 12).collect()] == [(12, ">".join(map(str, range(13))))]
+    assert as_dict(graph.distances(e, 0), "id", "depth") == {k: k for k in range(13)}
+    r = random.Random(3)
+    for _ in range(3):
+        edges = sorted({(a, b) for a, b in ((r.randrange(7), r.randrange(7)) for _ in range(18)) if a != b})
+        e, _ = make(spark, edges, range(7))
+        adj = {a: [y for x, y in edges if x == a] for a in range(7)}
+        found, open_ = [], [(0,)]
+        while open_:
+            p = open_.pop()
+            if p[-1] == 6:
+                found.append((len(p) - 1, ">".join(map(str, p))))
+            else:
+                open_ += [(*p, w) for w in adj[p[-1]] if w not in p]
+        assert [(x.hops, x.path) for x in graph.k_paths(e, 0, 6, 5).collect()] == sorted(found)[:5]
+
+
+def test_closure_is_that_of_every_walk(spark):
+    e, _ = make(spark, MIXED)
+    reach = set(MIXED)
+    while True:
+        more = reach | {(a, d) for a, b in reach for c, d in reach if b == c}
+        if more == reach:
+            break
+        reach = more
+    got = [(r.a, r.b) for r in graph.closure(e).collect()]
+    assert set(got) == reach and len(got) == len(reach)
+
+
+def test_pagerank_stops_when_it_stays_or_falls_back_to_degrees(spark):
+    e, v = make(spark, [*CYCLE, (3, 0)])
+    ranks = as_dict(graph.pagerank(e, v, tolerance=0.02), "id", "rank")
+    assert sum(ranks.values()) == pytest.approx(1) and ranks[0] > ranks[1] > ranks[3]
+    assert as_dict(graph.pagerank(e, v, rounds=1, tolerance=1e-12), "id", "rank") == {0: 1.0, 1: pytest.approx(2 / 3), 2: pytest.approx(2 / 3), 3: pytest.approx(1 / 3)}
+
+
+def test_betweenness_from_some_sources(spark):
+    e, v = make(spark, [(0, 1), (1, 2), (2, 3)])
+    assert as_dict(graph.betweenness(e, v, 99), "id", "betweenness") == {0: 0, 1: 2, 2: 2, 3: 0}
+    assert set(as_dict(graph.betweenness(e, v, 2), "id", "betweenness")) == set(range(4))
+
+
 def test_centrality(spark):
     e, v = make(spark, [(0, k) for k in range(1, 6)])
     d = {r.id: (r.in_degree, r.out_degree) for r in graph.degrees(e, v).collect()}
