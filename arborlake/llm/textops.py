@@ -51,10 +51,11 @@ def small(df: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.count() <= bound else df
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def without(docs: DataFrame, ids: DataFrame, blank: bool = False) -> DataFrame:
     """docs without the rows whose doc_id is in ids (one column, counted here). Few ids are broadcast, more are joined by a shuffle.
 
-    Rows with a null doc_id share one fate."""
+    Rows with a null doc_id share one fate. blank: rows without words stay all the same."""
     ids = ids.select(F.col(ids.columns[0]).alias("_gone")).distinct()
     ids = small(ids)
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = F.col("doc_id").eqNullSafe(F.col("_gone"))
+    return docs.join(ids, gone & (n_words("text") > 0) if blank else gone, "left_anti")

@@ -6,6 +6,8 @@ import math
 import re
 import zlib
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -141,3 +143,51 @@ def base_spans(text):
     ):
         found += [(m.start(), ("assign", "access", "hex").index(kind), m.end()) for m in pattern.finditer(text or "") if ok(m)]
     return [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found)]
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def xx(value, seed=42):
+    """Spark's xxhash64 of a text, a long, or (as a pair with its width) a smaller integer; seed: what came before it."""
+    data = value.encode() if isinstance(value, str) else value.to_bytes(8, "little", signed=True) if isinstance(value, int) else value[0].to_bytes(value[1], "little", signed=True)
+    return signed(xxhash.xxh64(data, seed=seed & (1 << 64) - 1).intdigest())
+
+
+def imatch(texts, most, fewest, families=10, rates=6):
+    """Each text's fingerprint: (hash, number of terms) of the whole, then of the subsets, None where one catches none. Lexicon of texts alone."""
+    sets = [{xx(w) for w in words(t)} for t in texts]
+    df = collections.Counter(t for s in sets for t in s)
+    band = {t for t, n in df.items() if n * most >= len(texts) and n * fewest <= len(texts) and n > 1}
+
+    def one(terms):
+        h = 42
+        for t in terms:
+            h = xx(t, h)
+        return h, len(terms)
+
+    def fingerprint(text):
+        every = {xx(w) for w in words(text)}
+        kept = sorted(every & band or every)
+        out = [one(kept)]
+        for f in range(families):
+            left = kept
+            for r in range(1, rates + 1):
+                left = [t for t in left if xx((f, 4), xx((r, 4), xx(t))) & 3 == 0]
+                out.append(one(left) if left else None)
+        return out
+
+    return fingerprint
+
+
+def likeness(a, b):
+    pairs = [(x, y) for x, y in zip(a[1:], b[1:]) if x or y]
+    if not pairs:
+        return float(a[0][0] == b[0][0])
+    weight = [1 / max(z[1] for z in p if z) for p in pairs]
+    return sum(w for w, (x, y) in zip(weight, pairs) if x and y and x[0] == y[0]) / sum(weight)
+
+
+def fingerprint_text(f):
+    return ".".join(f"{x[0] & (1 << 64) - 1:x}:{x[1]}" if x else "-" for x in f)

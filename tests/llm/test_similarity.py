@@ -46,10 +46,10 @@ def groups(spark):
 
 
 # with tiny leaves the trees are deep, where a pair at the threshold survives less often: more trees make up for it
-@pytest.mark.parametrize(("leaf", "trees"), [(neardup.LEAF, neardup.TREES), (3, 96)])
-def test_near_duplicates_are_those_of_all_pairs(groups, leaf, trees):
+@pytest.mark.parametrize(("leaf", "trees", "block"), [(neardup.LEAF, neardup.TREES, neardup.BLOCK), (3, 96, 4)])
+def test_near_duplicates_are_those_of_all_pairs(groups, leaf, trees, block):
     want = brute.components(rows_of(groups))
-    got = neardup.near_duplicates(groups, leaf=leaf, trees=trees).collect()
+    got = neardup.near_duplicates(groups, leaf=leaf, trees=trees, block=block).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
@@ -68,6 +68,32 @@ def test_near_duplicates_of_odd_texts(spark, docs, empty):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, "a b c"), (1, "a b c")] and kept.columns == ["doc_id", "text", "lang"]
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    r = random.Random(6)
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "pq")
+    near = lambda w: " ".join([*w[:-2], "other", "end"])
+    rows = [(5, " ".join(a), 1), (5, " ".join(b), 2), (2, near(a), 3), (9, near(b), 4), (5, " ".join(b), 5), (5, None, 6), (5, "all on its own here", 7), (7, "", 8), (None, " ".join(a), 9)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k long")
+    got = sorted((x.doc_id or 0, x.component_id or 0, x.kept) for x in neardup.near_duplicates(docs).collect())
+    assert got == [(0, 0, True), (2, 2, True), (5, 2, False), (5, 5, True), (5, 5, True), (5, 5, True), (5, 5, True), (7, 7, True), (9, 5, False)]
+    kept = neardup.keep_one(docs).collect()
+    assert sorted(x.k for x in kept if x.k not in (2, 5)) == [3, 6, 7, 8, 9] and sum(x.k in (2, 5) for x in kept) == 1
+
+
+def test_forests_find_what_a_large_dense_group_hides(spark):
+    """A link at the threshold that shares no deep node of the first forest's trees is found in another's."""
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(201)]
+    rows = [(k, " ".join(w)) for k, w in enumerate([base[:p] + [f"x{k}"] + base[p + 1 :] for k, p in enumerate(r.choices(range(201), k=700))])]
+    edge = list(base)
+    for p in range(10, 130, 12):  # each word takes two shingles: 20 of 200
+        edge[p] = f"y{p}"
+    rows.append((10_000, " ".join(edge)))
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), leaf=16).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_components_of_long_chains(spark):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, 101), (7, 7)]
     df = spark.createDataFrame(edges, "a long, b long")
@@ -96,12 +122,28 @@ def test_fingerprints(docs):
     assert all(0 <= x <= 1 for r in rows.values() for x in (r.near_edited, r.near_next))
 
 
+def test_fingerprints_are_those_of_dictionaries(docs):
+    rows = sorted(rows_of(docs))
+    text = {i: t or "" for i, t in rows}
+    f = brute.imatch([t for _, t in rows], 20, 4)
+    got = {r.doc_id: r for r in imatch.fingerprints(docs, most=20).collect()}
+    ids = [i for i, _ in rows]
+    for i, after in zip(ids, ids[1:] + ids[:1]):
+        t, cut = text[i], len(text[i]) // 4
+        edited = t[: len(t) - cut] + text[after][:cut]
+        assert got[i].fingerprint == brute.fingerprint_text(f(t)), i
+        assert got[i].edited_fingerprint == brute.fingerprint_text(f(edited)), i
+        assert got[i].near_edited == pytest.approx(brute.likeness(f(t), f(edited))) and got[i].near_next == pytest.approx(brute.likeness(f(t), f(text[after]))), i
+
+
 def test_fingerprints_of_odd_tables(spark, empty):
     assert imatch.fingerprints(empty).count() == 0
     (one,) = imatch.fingerprints(spark.createDataFrame([(5, "abcdefgh")], "doc_id long, text string")).collect()
     assert one.edited_sha256 == brute.edited([(5, "abcdefgh")])[5] and one.near_next == 1
     rows = imatch.fingerprints(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "x y z w"), (2, None)], "doc_id long, text string")).collect()
     assert len(rows) == 4 and sorted((r.doc_id or 0) for r in rows) == [0, 1, 1, 2]
+    least = imatch.fingerprints(spark.createDataFrame([(imatch.FIRST_ID, "a b"), (None, "c d")], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in least} == {imatch.FIRST_ID, None}
 
 
 def test_alignment_is_smith_waterman():
