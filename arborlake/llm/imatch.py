@@ -2,24 +2,25 @@
 
 The lexicon is the terms (lower-cased words) within a band of inverse document frequency: in at
 least one document of ``MOST`` and at most one of ``FEWEST``. A document's terms that are in it, distinct and
-sorted, are hashed: once as a whole, and once for each of ``SUBSETS`` randomised lexicons, which keep
-each term with a probability of 1 to 2 ** -11, so that texts of any length have some that catch a few
-of their terms. A lexicon that catches more than ``FEW`` has no hash: any edit would change it. The
-fingerprint is those hashes; the likeness of two is, of the randomised lexicons that have a hash for
-either, the share that give both the same.
+sorted, are hashed: once as a whole, and once for each of ``FAMILIES`` times ``RATES`` randomised lexicons. Each
+family quarters the lexicon again and again by fresh hashes, so that its members keep a term with a probability of
+1/4 to 4 ** -6, and texts of any length have some that catch a few of their terms. The fingerprint is those hashes, each with the number of terms in it. Two fingerprints
+are compared by the randomised lexicons that have a hash for either; one that catches many terms says
+little, as any edit changes it, so each weighs 1 / (its number of terms in the text where it has more). The
+likeness is the weight of those that hash alike over that of all.
 
 Scale: document frequencies are over all documents, with partial counts by task. At most
 ``MOST`` times the mean number of distinct terms can be frequent enough for the band, however many the documents; so
-the lexicon fits one array of ``BITS`` bits, two for a term, which is broadcast to meet each text in
-memory (a term outside that hits both bits counts as inside, in all texts alike). A text is shuffled once, by doc_id; of the next
+the lexicon fits a table of ``TABLE`` slots, which is a scalar subquery: each task has it once, and no row carries it.
+A text is shuffled once, by doc_id; of the next
 document only the prefix that is needed and the fingerprint move. The next document is found by a
 radix of the ids, 16 bits at a time: no window spans more than 65,536 values.
 
 Defined results: null text is empty; a text none of whose terms is in the lexicon is fingerprinted
 by all its terms; one without terms has the hash of the empty list, and no lexicon catches it: two
 such are alike (1) if their fingerprints are equal; the next document of rows that share a doc_id is
-that of the next greater id, its least text if there are several; a null doc_id comes before all;
-an empty table gives no rows; other columns aren't read.
+that of the next greater id, its least text if there are several; a null doc_id comes before all, where the least
+long would be, and is null in the result; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -31,9 +32,8 @@ from pyspark.sql import functions as F
 from arborlake.llm.textops import hex_sha256, lower_ascii, table, text_of, words
 from arborlake.session import Scratch
 
-MOST, FEWEST, SUBSETS, RATES, FEW, BITS = 2000, 4, 48, 12, 4, 1 << 21
+MOST, FEWEST, FAMILIES, RATES, TABLE = 2000, 4, 10, 6, 1 << 16
 FIRST_ID = -(2**63)  # stands for null
-_WORDS = BITS // 64
 
 
 def terms(text: Column) -> Column:
@@ -41,59 +41,58 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words(lower_ascii(text)), lambda w: F.xxhash64(w)))
 
 
-def _bits(term: Column) -> list[Column]:
-    return [F.pmod(F.xxhash64(term, F.lit(k)), F.lit(BITS)) for k in (1, 2)]
+def _slot(term: Column) -> Column:
+    return F.pmod(term, F.lit(TABLE)).cast("int")
 
 
 def lexicon(docs: DataFrame, most: int = MOST, fewest: int = FEWEST) -> DataFrame:
-    """docs: text, not null. One row: the bit array of the terms in the band, under a key of 0."""
+    """docs: text, not null. One row: the terms in the band, by slot."""
     n = docs.count()
     found = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = found.filter((F.col("df") * most >= n) & (F.col("df") * fewest <= n) & (F.col("df") > 1)).select("term")
-    at = band.select(F.explode(F.array(*_bits(F.col("term")))).alias("bit"))
-    set_ = at.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    every = docs.sparkSession.range(_WORDS).join(set_, F.col("id") == F.col("word"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    return every.agg(F.array_sort(F.collect_list(F.struct("id", "bits"))).alias("x")).select(F.lit(0).cast("long").alias("_key"), F.col("x.bits").alias("_bits"))
+    slots = band.groupBy(_slot(F.col("term")).alias("slot")).agg(F.collect_list("term").alias("held"))
+    every = docs.sparkSession.range(TABLE).join(slots, F.col("id") == F.col("slot"), "left").select("id", F.coalesce("held", F.array().cast("array<bigint>")).alias("held"))
+    return every.agg(F.array_sort(F.collect_list(F.struct("id", "held"))).alias("x")).select(F.col("x.held").alias("slots"))
 
 
-def _inside(term: Column, bits: Column) -> Column:
-    def has(b: Column) -> Column:
-        word = F.get(bits, F.shiftright(b, 6).cast("int"))
-        return F.call_function("shiftrightunsigned", word, b.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+def _hash(terms_: Column) -> Column:
+    """Hash (h) and number (n) of a list of terms, null if it is empty."""
+    return F.when(F.size(terms_) > 0, F.struct(F.xxhash64(terms_).alias("h"), F.size(terms_).alias("n")))
 
-    one, two = _bits(term)
-    return has(one) & has(two)
 
+def _family(kept: Column, family: int) -> Column:
+    """The hashes of a family of lexicons, each of which keeps a quarter of the terms that the one before it keeps."""
 
-def _caught(subset: int):
-    """The subset's randomised lexicon: terms whose hash under its number ends in so many zero bits, 0 to RATES - 1."""
-    mask = F.lit((1 << subset % RATES) - 1).cast("long")
-    return lambda term: F.xxhash64(term, F.lit(100 + subset)).bitwiseAND(mask) == 0
+    def fewer(now: Column, rate: Column) -> Column:
+        some = F.filter(now["kept"], lambda t: F.xxhash64(t, rate, F.lit(family)).bitwiseAND(F.lit(3).cast("long")) == 0)
+        return F.transform(F.array(some), lambda x: F.struct(x.alias("kept"), F.concat(now["out"], F.array(_hash(x))).alias("out")))[0]
+
+    start = F.struct(kept.alias("kept"), F.array().cast("array<struct<h:bigint,n:int>>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(RATES)), start, fewer, lambda now: now["out"])
 
 
 def hashes(df: DataFrame, text: str, out: str, lexicon_: DataFrame) -> DataFrame:
-    """Adds out: the hash of the whole list, then those of the subsets, null where one catches no term or more than FEW."""
+    """Adds out: hash and number of the whole list, then of the subsets, null where one catches no term."""
     all_, kept = f"_{out}_all", f"_{out}_kept"
     df = df.withColumn(all_, terms(F.col(text)))
-    # an equi-join with the lexicon's one row; its array never leaves the task's memory
-    df = df.join(F.broadcast(lexicon_), F.col("id").bitwiseAND(F.lit(0).cast("long")) == F.col("_key"))
-    df = df.withColumn(kept, F.filter(all_, lambda t: _inside(t, F.col("_bits")))).drop("_bits", "_key")
+    # the table is named once, so that the optimizer moves the subquery to where it is read and no row holds a copy
+    df = df.withColumn("_slots", lexicon_.scalar()).withColumn(kept, F.filter(all_, lambda t: F.array_contains(F.get(F.col("_slots"), _slot(t)), t))).drop("_slots")
     df = df.withColumn(kept, F.sort_array(F.when(F.size(kept) > 0, F.col(kept)).otherwise(F.col(all_))))
-    parts = [F.filter(kept, _caught(k)) for k in range(SUBSETS)]
-    df = df.withColumn(out, F.array(F.xxhash64(kept), *[F.transform(F.array(p), lambda x: F.when(F.size(x).between(1, FEW), F.xxhash64(x)))[0] for p in parts]))
-    return df.drop(all_, kept)
+    whole = F.struct(F.xxhash64(kept).alias("h"), F.size(kept).alias("n"))
+    return df.withColumn(out, F.concat(F.array(whole), *[_family(F.col(kept), k) for k in range(FAMILIES)])).drop(all_, kept)
 
 
 def as_text(h: Column) -> Column:
-    return F.array_join(F.transform(h, lambda x: F.coalesce(F.lower(F.hex(x)), F.lit("-"))), ".")
+    return F.array_join(F.transform(h, lambda x: F.coalesce(F.concat(F.lower(F.hex(x["h"])), F.lit(":"), x["n"].cast("string")), F.lit("-"))), ".")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of the subsets that have a hash in either, the share that hash alike; without any, 1 if all is equal, else 0."""
-    pair = F.arrays_zip(F.slice(a, 2, SUBSETS).alias("a"), F.slice(b, 2, SUBSETS).alias("b"))
-    either = F.size(F.filter(pair, lambda p: p["a"].isNotNull() | p["b"].isNotNull()))
-    same = F.size(F.filter(pair, lambda p: p["a"] == p["b"]))
-    return F.when(either > 0, same / either).otherwise(F.when(a[0] == b[0], 1.0).otherwise(0.0))
+    """Of the weight of the subsets that have a hash in either, the share of those that hash alike; without any, 1 if all is equal, else 0."""
+    pair = F.arrays_zip(F.slice(a, 2, FAMILIES * RATES).alias("a"), F.slice(b, 2, FAMILIES * RATES).alias("b"))
+    weight = lambda p: F.coalesce(F.lit(1.0) / F.greatest(p["a"]["n"], p["b"]["n"]), F.lit(0.0))
+    total = F.aggregate(pair, F.lit(0.0), lambda t, p: t + weight(p))
+    same = F.aggregate(pair, F.lit(0.0), lambda t, p: t + F.when(p["a"]["h"] == p["b"]["h"], weight(p)).otherwise(0.0))
+    return F.when(total > 0, same / total).otherwise(F.when(a[0]["h"] == b[0]["h"], 1.0).otherwise(0.0))
 
 
 def successors(ids: DataFrame) -> DataFrame:
@@ -121,21 +120,21 @@ def successors(ids: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, most: int = MOST, fewest: int = FEWEST) -> DataFrame:
     """docs: doc_id, text. See op5's columns."""
     scratch = Scratch(docs.sparkSession, "imatch")
-    base = docs.select(text_of("text").alias("text"), F.coalesce("doc_id", F.lit(FIRST_ID)).alias("id"))
-    bits = scratch.save(lexicon(base.select("text"), most, fewest), "lexicon")
-    rows = hashes(base, "text", "h", bits).repartition("id")
+    base = docs.select("doc_id", text_of("text").alias("text"), F.coalesce("doc_id", F.lit(FIRST_ID)).alias("id"))
+    slots = scratch.save(lexicon(base.select("text"), most, fewest), "lexicon")
+    rows = hashes(base, "text", "h", slots).repartition("id")
     # how much of each document its predecessors may need
     sizes = base.groupBy("id").agg(F.max(F.floor(F.length("text") / 4)).alias("need"))
     links = scratch.save(successors(base.select("id").distinct()).join(sizes, "id"), "links")
     before = links.select(F.col("next_id").alias("id"), F.col("id").alias("to"), "need")
-    sent = rows.join(before, "id").select(F.col("to").alias("id"), F.struct(F.expr("substring(text, 1, int(need))").alias("head"), F.col("h")).alias("next"))
+    sent = rows.join(before, "id").select(F.col("to").alias("id"), F.struct(F.expr("substring(text, 1, int(need))").alias("head"), "h", "doc_id").alias("next"))  # doc_id: with the same columns, rows are shuffled once for both uses
     sent = sent.groupBy("id").agg(F.min("next").alias("next"))
     both = rows.join(sent, "id").withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring(F.col("next.head"), F.lit(1), cut))
-    done = hashes(both.withColumn("edited", edited), "edited", "e", bits)
+    done = hashes(both.withColumn("edited", edited), "edited", "e", slots)
     return done.select(
-        F.nullif("id", F.lit(FIRST_ID)).alias("doc_id"), "n_chars", hex_sha256(F.col("edited")).alias("edited_sha256"), as_text(F.col("h")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", hex_sha256(F.col("edited")).alias("edited_sha256"), as_text(F.col("h")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("h"), F.col("e")).alias("near_edited"), likeness(F.col("h"), F.col("next.h")).alias("near_next"),
     )
 

@@ -32,6 +32,35 @@ def test_scorer_is_the_average_over_all_features():
         assert one(text) == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-3)
 
 
+def test_training_is_stochastic_gradient_descent_on_softmax():
+    samples = [("good plain text", 1), ("bad bad bad junk", 0), ("plain words again", 1), ("", 0)]
+    dim, rate = 3, 0.5
+    rng = np.random.default_rng(quality.SEED)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (quality.BUCKETS, dim)).astype(np.float32).astype(float)
+    out, bias = np.zeros((2, dim)), np.zeros(2)
+    epochs = -(-quality.STEPS // len(samples))
+    step, total = 0, epochs * len(samples)
+    features = [quality.document_features(t) for t, _ in samples]
+    for _ in range(epochs):
+        for k in rng.permutation(len(samples)):
+            r = rate * (1 - step / total)
+            step += 1
+            hidden = sum((w * vectors[b] for b, w in zip(*features[k])), np.zeros(dim))
+            e = np.exp(out @ hidden + bias)
+            slope = e / e.sum() - np.eye(2)[samples[k][1]]
+            back = slope @ out
+            out = out - r * np.outer(slope, hidden)
+            bias = bias - 0.1 * r * slope
+            n = len(features[k][0])
+            for b, w in zip(*features[k]):
+                vectors[b] -= min(r * n * w, 4 * r) * back
+    weights, got_bias = quality.train(samples, dim=dim, rate=rate)
+    one = quality.Scorer(weights, got_bias)
+    plain = quality.Scorer((vectors @ (out[1] - out[0])).astype(np.float32), bias[1] - bias[0])
+    for t in ("good plain text", "bad junk", "again", "", "unseen"):
+        assert one(t) == pytest.approx(plain(t), abs=0.02), t
+
+
 def test_long_words_are_read_whole():
     import zlib
 
@@ -84,6 +113,18 @@ def test_out_of_place_distance():
     assert s("abab ca") == (best, pytest.approx(1 - far[best] / 9))
 
 
+def test_profiles_are_the_most_frequent_ngrams(docs):
+    profiles = langid.learn(docs, top=40)
+    for lang in ("en", "de"):
+        n = {}
+        for r in docs.filter(F.col("lang") == lang).collect():
+            for g, k in grams(r.text or "").items():
+                n[g] = n.get(g, 0) + k
+        code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+        want = sorted(n, key=lambda g: (-n[g], brute.xx(code(g)), code(g)))[:40]
+        assert [langid.spell(g) for g in profiles[lang]] == want
+
+
 def test_languages_on_held_out_documents(spark, sf):
     rows = langid.op6(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert rows and sum(r.lang == r.lang_pred for r in rows) / len(rows) >= 0.95
