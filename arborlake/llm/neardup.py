@@ -143,7 +143,9 @@ def _texts_of(reps: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scr
     """reps: rep, distinct. rep and shingles: the class's set, from a row that names it."""
     wanted = scratch.save(classes.join(reps, "rep", "left_semi").select("rep", F.col("first_id").alias("_id"), F.col("f1").alias("_f1")), f"{name}-wanted")
     sets = with_sets(docs.join(small(wanted), F.col("doc_id") == F.col("_id")), ("rep", "_f1"))
-    sets = scratch.save(sets.filter(F.xxhash64("shingles") == F.col("_f1")).select("rep", "shingles"), f"{name}-sets")
+    # not as an equality, which would become a key of the join and be computed for all documents
+    same = F.xxhash64("shingles").bitwiseXOR(F.col("_f1")) == 0
+    sets = scratch.save(sets.filter(same).select("rep", "shingles"), f"{name}-sets")
     return sets if sets.count() == wanted.count() else scratch.save(sets.dropDuplicates(["rep"]), f"{name}-once")
 
 
