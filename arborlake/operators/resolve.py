@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arborlake.functions.strings import dirname, import_path
@@ -101,7 +102,11 @@ _BINDING = r"""\{\{\s*([A-Za-z_$][\w$]*)|[:@](?:[\w.-]+)="\s*([A-Za-z_$][\w$]*)|
 
 
 def template_refs(files: DataFrame) -> DataFrame:
-    """files: path, content. Names that a template uses: in {{ }}, bindings, handlers and component tags; the first of each name, with its ordinal."""
+    """files: path, content. Names that a template uses: in {{ }}, bindings, handlers and component tags; the first of each name, with its ordinal.
+
+    Rows of one path are one file: a name is listed once for the path, where it comes first in any of them; ties in order of names."""
     body = F.regexp_extract("content", _TEMPLATE, 1)
     names = F.filter(F.flatten(F.array(*[F.regexp_extract_all(body, F.lit(_BINDING), F.lit(k)) for k in (1, 2, 3)])), lambda x: x != "")
-    return files.select("path", F.posexplode(F.array_distinct(names)).alias("ordinal", "target_name")).withColumn("kind", F.lit("template"))
+    first = files.select("path", F.posexplode(F.array_distinct(names)).alias("at", "target_name")).groupBy("path", "target_name").agg(F.min("at").alias("at"))
+    ordinal = F.row_number().over(W.partitionBy("path").orderBy("at", "target_name")) - 1
+    return first.select("path", ordinal.alias("ordinal"), "target_name").withColumn("kind", F.lit("template"))

@@ -89,3 +89,10 @@ def test_incremental(spark):
     both = incremental.append_snapshot(h, spark.createDataFrame([(2, 20, 2.0, 7)], "id long, timestamp long, avg_complexity double, odd long"))
     rows = incremental.read_history(both).collect()
     assert [r.id for r in rows] == [2, 1] and rows[0].extra == {"odd": "7"}
+
+
+def test_template_names_are_listed_once_for_a_path(spark):
+    page = '<template>{{ %s }}<Button @click="save"/></template>'
+    refs = spark.createDataFrame([("a.vue", page % "title"), ("a.vue", page % "title"), ("b.vue", page % "title"), ("b.vue", page % "head")], "path string, content string")
+    got = sorted((r.path, r.ordinal, r.target_name) for r in resolve.template_refs(refs).collect())
+    assert got == [("a.vue", 0, "title"), ("a.vue", 1, "save"), ("a.vue", 2, "Button"), ("b.vue", 0, "head"), ("b.vue", 1, "title"), ("b.vue", 2, "save"), ("b.vue", 3, "Button")]
