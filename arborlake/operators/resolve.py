@@ -87,14 +87,18 @@ def resolve(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def nearest_homonym(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """refs: ref, file_id, target_name. The symbol of that name in the same file, else folder, else exported, else first."""
+    """refs: ref, file_id, target_name. The symbol of that name in the same file, else folder, else exported, else first.
+
+    As in resolve, a name's references and its symbols never meet: the best symbol of each name, and of each name in each
+    file and folder, is found beforehand, and each name that a file refers to looks them up by key."""
     f = files.select(F.col("id").alias("file_id"), dirname("path").alias("dir"))
-    s = symbols.join(f, "file_id").select(F.col("id").alias("target_id"), F.col("file_id").alias("t_file"), F.col("name").alias("target_name"), F.col("dir").alias("t_dir"), "is_exported")
-    # refs of one file to one name have one answer; the best is a partial aggregate, so candidates aren't shuffled
-    j = refs.select("file_id", "target_name").distinct().join(f, "file_id").join(s, "target_name")
-    far = [(F.col("t_file") != F.col("file_id")).alias("a"), (F.col("t_dir") != F.col("dir")).alias("b"), (-F.col("is_exported")).alias("c"), "target_id"]
-    best = j.groupBy("file_id", "target_name").agg(F.min(F.struct(*far)).alias("x"))
-    return refs.join(best, ["file_id", "target_name"]).select("ref", "file_id", "target_name", "x.target_id")
+    s = symbols.join(f, "file_id").select("id", "file_id", F.col("name").alias("target_name"), "dir", (-F.col("is_exported")).alias("hidden"))
+    asked = refs.select("file_id", "target_name").distinct().join(f, "file_id")
+    for level, keys in (("in_file", ["target_name", "file_id"]), ("in_dir", ["target_name", "dir"]), ("any", ["target_name"])):
+        best = s.groupBy(*keys).agg(F.min(F.struct("hidden", "id")).alias(level))
+        asked = asked.join(best, keys, "inner" if level == "any" else "left")
+    found = asked.select("file_id", "target_name", F.coalesce("in_file", "in_dir", "any")["id"].alias("target_id"))
+    return refs.join(found, ["file_id", "target_name"]).select("ref", "file_id", "target_name", "target_id")
 
 
 _TEMPLATE = r"(?s)<template[^>]*>(.*)</template>"

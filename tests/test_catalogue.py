@@ -88,3 +88,29 @@ def test_graph_queries_without_sql_see_every_succession(spark, tmp_path):
     assert got == pytest.approx(want, abs=1e-5)
     for name in ("louvain", "label_propagation"):
         assert Q[name](spark, str(tmp_path)).count() == 5
+
+
+def test_references_never_meet_all_symbols_of_their_name(spark):
+    """One name, 3,000 symbols of it and 3,000 files that refer to it: no table has a row for each pair."""
+    from pyspark.sql import functions as F
+
+    from arborlake.operators import resolve
+
+    n = 3000
+    files = spark.range(n).select("id", F.concat(F.lit("d"), (F.col("id") % 50).cast("string"), F.lit("/f"), F.col("id").cast("string")).alias("path"))
+    symbols = spark.range(n).select("id", (F.col("id") * 2).alias("file_id"), F.lit("get").alias("name"), F.when(F.col("id") % 3 > 0, 1).otherwise(0).alias("is_exported"))
+    refs = spark.range(n).select(F.col("id").alias("ref"), F.col("id").alias("file_id"), F.lit("get").alias("target_name"))
+    found = resolve.nearest_homonym(refs, symbols, files)
+    got = {r.ref: r.target_id for r in found.collect()}
+    at = {k: 2 * k for k in range(n // 2)}
+    want = {r: min(at, key=lambda k: (at[k] != r, at[k] % 50 != r % 50, k % 3 == 0, k)) for r in range(0, n, 97)}
+    assert {r: got[r] for r in want} == want and len(got) == n
+
+    def most(plan):
+        inner = [plan.executedPlan()] if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else []
+        below = plan.children()
+        inner += [below.apply(k) for k in range(below.size())] + ([plan.plan()] if "QueryStageExec" in plan.getClass().getSimpleName() else [])
+        own = plan.metrics().get("numOutputRows")
+        return max([own.get().value() if own.isDefined() else 0, *map(most, inner)])
+
+    assert 0 < most(found._jdf.queryExecution().executedPlan()) <= 2 * n
