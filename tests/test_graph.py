@@ -162,3 +162,52 @@ def test_topological_order_and_weakest_edge(spark):
     e, v = make(spark, [*CYCLE, (0, 2)])
     w = graph.weakest_edges(e, graph.strong_components(e, v)).first()
     assert (w.src, w.dst) == (0, 2)
+
+
+def louvain_at_once(edges, nodes):
+    """The whole graph in dictionaries."""
+    graph = {v: {} for v in nodes}
+    for a, b in edges:
+        if a != b:
+            graph[a][b] = graph[b][a] = 1.0
+    member = {v: v for v in nodes}
+    while True:
+        m2, changed, moved = sum(sum(x.values()) for x in graph.values()), False, True
+        comm, deg = {v: v for v in graph}, {v: sum(x.values()) for v, x in graph.items()}
+        tot = dict(deg)
+        while moved:
+            moved = False
+            for v in sorted(graph):
+                near = {}
+                for u, w in graph[v].items():
+                    if u != v:
+                        near[comm[u]] = near.get(comm[u], 0.0) + w
+                tot[comm[v]] -= deg[v]
+                best = max(sorted({*near, comm[v]}), key=lambda c: (near.get(c, 0.0) - tot[c] * deg[v] / m2, c == comm[v], -c))
+                tot[best] += deg[v]
+                if best != comm[v]:
+                    comm[v], moved, changed = best, True, True
+        if not changed:
+            break
+        member, merged = {v: comm[c] for v, c in member.items()}, {}
+        for v, x in graph.items():
+            row = merged.setdefault(comm[v], {})
+            for u, w in x.items():
+                row[comm[u]] = row.get(comm[u], 0.0) + w
+        graph = merged
+    return {v: min(u for u in nodes if member[u] == member[v]) for v in nodes}
+
+
+def random_graph(seed):
+    """Three components of different density, and nodes of their own."""
+    r = random.Random(seed)
+    return sorted({(lo + r.randrange(n), lo + r.randrange(n)) for lo, n, m in ((0, 40, 90), (50, 25, 200), (90, 12, 14)) for _ in range(m)}), range(110)
+
+
+def test_louvain_by_component_is_that_of_the_whole_graph(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 100)
+    monkeypatch.setattr(graph, "AT_ONCE", 16)
+    for seed in (1, 2):
+        edges, nodes = random_graph(seed)
+        e, v = make(spark, edges, nodes)
+        assert as_dict(graph.louvain(e, v), "id", "cluster_id") == louvain_at_once(edges, nodes)
