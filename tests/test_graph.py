@@ -211,3 +211,29 @@ def test_louvain_by_component_is_that_of_the_whole_graph(spark, monkeypatch):
         edges, nodes = random_graph(seed)
         e, v = make(spark, edges, nodes)
         assert as_dict(graph.louvain(e, v), "id", "cluster_id") == louvain_at_once(edges, nodes)
+
+
+def test_betweenness_gathers_nothing_on_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 100)
+    monkeypatch.setattr(graph, "AT_ONCE", 16)
+    edges, nodes = random_graph(3)
+    adj, want = {}, dict.fromkeys(nodes, 0.0)
+    for a, b in edges:
+        adj.setdefault(a, []).append(b)
+    for s in nodes:
+        dist, sigma, pred, order = {s: 0}, {s: 1}, {}, [s]
+        for x in order:
+            for w in adj.get(x, ()):
+                if w not in dist:
+                    dist[w] = dist[x] + 1
+                    order.append(w)
+                if dist[w] == dist[x] + 1:
+                    sigma[w] = sigma.get(w, 0) + sigma[x]
+                    pred.setdefault(w, []).append(x)
+        delta = dict.fromkeys(order, 0.0)
+        for w in reversed(order[1:]):
+            for x in pred[w]:
+                delta[x] += sigma[x] / sigma[w] * (1 + delta[w])
+            want[w] += delta[w]
+    e, v = make(spark, edges, nodes)
+    assert as_dict(graph.betweenness(e, v), "id", "betweenness") == pytest.approx(want, abs=1e-5)
