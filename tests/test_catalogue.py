@@ -114,3 +114,20 @@ def test_references_never_meet_all_symbols_of_their_name(spark):
         return max([own.get().value() if own.isDefined() else 0, *map(most, inner)])
 
     assert 0 < most(found._jdf.queryExecution().executedPlan()) <= 2 * n
+
+
+def test_tasks_of_cochange_grow_with_the_input(spark):
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from arborlake.operators import temporal
+
+    small, large = (spark.range(n).select((F.col("id") / 5).cast("long").alias("commit_id"), (F.col("id") * 7 % 11).alias("file_id")) for n in (1000, 20_000_000))
+    tasks = temporal.tasks_for(large)
+    assert temporal.tasks_for(small) == 8 and tasks > 16 and "REPARTITION_BY_NUM" in temporal.cochange(large)._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for k in range(200):
+        for p in itertools.combinations(sorted({i * 7 % 11 for i in range(5 * k, 5 * k + 5)}), 2):
+            want[p] = want.get(p, 0) + 1
+    assert {(r.file_id_a, r.file_id_b): r.cochange_count for r in temporal.cochange(small).collect()} == want
