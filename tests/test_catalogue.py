@@ -131,3 +131,20 @@ def test_tasks_of_cochange_grow_with_the_input(spark):
         for p in itertools.combinations(sorted({i * 7 % 11 for i in range(5 * k, 5 * k + 5)}), 2):
             want[p] = want.get(p, 0) + 1
     assert {(r.file_id_a, r.file_id_b): r.cochange_count for r in temporal.cochange(small).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["western_electric", "top_churn"])
+def test_partitions_of_every_query_grow_with_the_tables(spark, db, monkeypatch, name):
+    """With a partition for every 8,000 bytes of tables; small tables leave the session as it is."""
+    from arborlake import session
+    from arborlake.sources.binding import Model
+
+    assert Model(spark, SF).spark is spark
+    monkeypatch.setattr(session, "PARTITION_BYTES", 8000)
+    m = Model(spark, SF)
+    n = -(-session.size_of(spark, SF) // 8000)
+    assert n > 20 and m.spark.conf.get("spark.sql.shuffle.partitions") == str(n) and spark.conf.get("spark.sql.shuffle.partitions") == "8"
+    assert m.spark.conf.get("spark.sql.session.timeZone") == "UTC" and m.spark.sparkContext is spark.sparkContext
+    got, want = Q[name](spark, SF), db.sql(SQL[name]).df()
+    assert got.sparkSession.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8000b"
+    assert rows(got.toPandas(), sorted(want.columns)) == rows(want, sorted(want.columns))
