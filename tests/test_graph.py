@@ -237,3 +237,41 @@ def test_betweenness_gathers_nothing_on_the_driver(spark, monkeypatch):
             want[w] += delta[w]
     e, v = make(spark, edges, nodes)
     assert as_dict(graph.betweenness(e, v), "id", "betweenness") == pytest.approx(want, abs=1e-5)
+
+
+@pytest.mark.parametrize("apart", [graph.COMPONENT_EDGES, 60, 0])
+def test_strong_components_of_connected_components(spark, monkeypatch, apart):
+    """Components as tasks' work each, some of them by joins, or all; against reachability in dictionaries."""
+    monkeypatch.setattr(graph, "STAR_EDGES", 20)
+    rng = random.Random(5)
+    pairs = [(1000 * c + rng.randrange(n), 1000 * c + rng.randrange(n)) for c, n, m in ((0, 30, 45), (1, 40, 90), (2, 8, 30), (3, 5, 4)) for _ in range(m)]
+    e, v = make(spark, pairs, [9999, 3])
+    nodes = {r.id for r in v.collect()}
+    reach = {a: {a} for a in nodes}
+    while True:
+        more = {a: r.union(*(reach[y] for x, y in pairs if x in r)) for a, r in reach.items()}
+        if more == reach:
+            break
+        reach = more
+    want = {a: min(b for b in reach[a] if a in reach[b]) for a in nodes}
+    assert as_dict(graph.strong_components(e, v, 1, apart), "id", "scc_id") == want
+
+
+def test_a_small_graphs_task_gets_only_nodes_with_an_edge(spark, monkeypatch):
+    """Of 20,000 vertices 5 have an edge."""
+
+    def at_most(solve):
+        def run(ids, marks, ptr, to):
+            if len(ids) > 7:
+                raise ValueError("all vertices gathered")
+            return solve(ids, marks, ptr, to)
+
+        return run
+
+    monkeypatch.setattr(graph, "_strong", at_most(graph._strong))
+    monkeypatch.setattr(graph, "_longest", at_most(graph._longest))
+    e, _ = make(spark, MIXED)
+    scc = graph.strong_components(e, spark.range(20_000))
+    assert scc.count() == 20_000 and scc.filter("id <> scc_id").count() == 3
+    got = as_dict(graph.layers(e, scc), "id", "layer")
+    assert len(got) == 20_000 and {k: got[k] for k in range(8)} == {0: 1, 1: 1, 2: 1, 3: 2, 4: 2, 5: 0, 6: 0, 7: 0}
