@@ -8,7 +8,7 @@ repetition is learned for all words at once.
 
 For scoring, each bucket's vector is reduced to the one number by which it moves the logit; so what
 goes to the executors is ``BUCKETS`` floats, whatever the corpus. Whole texts are scored where they
-are read; nothing is shuffled.
+are read; nothing is shuffled. The n-grams of a text's new words are hashed together, in numpy.
 
 Defined results: null and empty texts have no features and score by the learned bias; if no label
 can be learned from, every score is 0.5, and if all are alike, the bias says so; each row of labels
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from arborlake.llm.textops import remainder, table
 
 BUCKETS, DIM, EPOCHS, STEPS, RATE, SAMPLE_DOCS, FOLD, THRESHOLD, SEED = 1 << 18, 8, 12, 10_000, 0.5, 3000, 5, 0.3, 7
-WORDS_KEPT = 200_000
+WORDS_KEPT, AT_ONCE = 200_000, 4096
 _REPEAT = 0x9E3779B1
 
 
@@ -49,7 +49,7 @@ def word_features(word: str, buckets: int = BUCKETS) -> list[int] | np.ndarray:
 
 
 class Words(dict):
-    """word -> number; a word that is new gets the next one, its hash and its features."""
+    """word -> number; a word that is new gets the next one and its hash, and is made known in UTF-8."""
 
     def __init__(self, made=None):
         super().__init__()
@@ -57,12 +57,38 @@ class Words(dict):
 
     def __missing__(self, word: str) -> int:
         k = self[word] = len(self.hashes)
-        self.hashes.append(zlib.crc32(word.encode("utf-8", "replace")))
+        x = word.encode("utf-8", "replace")
+        self.hashes.append(zlib.crc32(x))
         if self.made:
-            self.made(word)
+            self.made(x)
         return k
 
 
+def _byte_part(after: int) -> np.ndarray:
+    """What each byte adds by exclusive or to the CRC of a text in which so many bytes follow it."""
+    return np.array([zlib.crc32(bytes([b]) + bytes(after)) ^ zlib.crc32(bytes(1 + after)) for b in range(256)], np.uint32)
+
+
+_PART, _OF3, _OF4 = [_byte_part(k) for k in range(4)], np.uint32(zlib.crc32(bytes(3))), np.uint32(zlib.crc32(bytes(4)))
+_W = zlib.crc32(b"w")
+
+
+def word_sums(words: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """For each word, of ASCII, the sum of the weights of word_features: all words' n-grams are hashed at once, as a CRC is the exclusive or of what its bytes add."""
+    b = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8)
+    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    p0, p1, p2, p3 = (p[b] for p in _PART)
+    buckets = np.uint32(weights.size)
+    four, three = np.zeros(b.size), np.zeros(b.size)
+    three[:-2] = weights[(p2[:-2] ^ p1[1:-1] ^ p0[2:] ^ _OF3) % buckets]
+    four[:-3] = weights[(p3[:-3] ^ p2[1:-2] ^ p1[2:-1] ^ p0[3:] ^ _OF4) % buckets]
+    for k in (1, 2):  # what begins there runs into the next word
+        three[end - k] = four[end - k] = 0
+    four[end - 3] = 0
+    own = weights[np.fromiter((zlib.crc32(x, _W) for x in words), np.uint32, len(words)) % buckets]
+    return np.add.reduceat(three + four, np.concatenate(([0], end[:-1]))) + own
+
+
 def pair_buckets(h: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Buckets of adjacent pairs, from the words' hashes."""
     a, b = h[:-1].astype(np.uint64), h[1:].astype(np.uint64)
@@ -157,12 +183,23 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.sums, self.sizes = Words(self._made), array("d"), array("q")
-
-    def _made(self, word: str) -> None:
-        f = word_features(word)
-        self.sums.append(float(self.weights[f].sum(dtype=np.float64)))
-        self.sizes.append(len(f))
+        self.new: list[bytes] = []
+        self.words, self.sums, self.sizes = Words(self.new.append), array("d"), array("q")
+
+    def _learn(self) -> None:
+        """Sums and numbers of features of the new words, in their order, so many at once."""
+        for at in range(0, len(self.new), AT_ONCE):
+            some = self.new[at : at + AT_ONCE]
+            sums, sizes = np.zeros(len(some)), np.fromiter(map(len, some), np.int64, len(some)) * 2
+            plain = [k for k, x in enumerate(some) if len(x) <= LONG and x.isascii()]
+            if plain:
+                sums[plain] = word_sums([some[k] for k in plain], self.weights)
+            for k in set(range(len(some))).difference(plain):
+                f = word_features(some[k].decode())
+                sums[k], sizes[k] = self.weights[f].sum(dtype=np.float64), len(f)
+            self.sums.frombytes(sums.tobytes())
+            self.sizes.frombytes(sizes.tobytes())
+        self.new.clear()
 
     def __call__(self, text: str | None) -> float:
         tokens = (text or "").split()
@@ -171,6 +208,7 @@ class Scorer:
             if len(self.words) > WORDS_KEPT:
                 self.clear()
             k = np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
+            self._learn()
             pairs = pair_buckets(np.frombuffer(self.words.hashes, np.int64)[k])
             total = np.frombuffer(self.sums)[k].sum() + self.weights[pairs].sum(dtype=np.float64)
             z += float(total) / float(np.frombuffer(self.sizes, np.int64)[k].sum() + pairs.size)

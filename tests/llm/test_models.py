@@ -73,6 +73,20 @@ def test_long_words_are_read_whole():
     assert quality.Scorer(weights, 0.0)(word) > 0.6
 
 
+def test_quality_hashes_the_new_words_of_a_text_at_once(monkeypatch):
+    weights = np.random.default_rng(5).normal(size=quality.BUCKETS).astype(np.float32)
+    plain = ["a", "ab", "abc", "<>", "x" * quality.LONG, *(f"word{k}" for k in range(2 * quality.AT_ONCE))]
+    text = " ".join([*plain, "naïve", "日本語", "\ud800q", "é" * 63, "y" * 200, *plain[:9]])
+    want = [float(weights[quality.word_features(w)].sum(dtype=np.float64)) for w in dict.fromkeys(text.split())]
+    sizes = [len(quality.word_features(w)) for w in dict.fromkeys(text.split())]
+    apart = []
+    monkeypatch.setattr(quality, "word_features", lambda w, real=quality.word_features: apart.append(w) or real(w))
+    one = quality.Scorer(weights, 0.0)
+    one(text)
+    np.testing.assert_allclose(one.sums, want, rtol=1e-12, atol=1e-12)
+    assert list(one.sizes) == sizes and len(apart) == 4  # none of ASCII but the long one
+
+
 def test_quality_of_odd_tables(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, none)
