@@ -159,9 +159,16 @@ def _forests(classes: DataFrame, docs: DataFrame, scratch: Scratch, threshold: f
         fresh = with_tokens(sets.select("rep", F.sort_array(F.transform("shingles", lambda v: F.xxhash64(v, F.lit(forest)))).alias("shingles")), "rep")  # noqa: B023
         more, _ = _leaves(scratch.save(fresh, f"tokens-{forest}"), scratch, threshold, trees, leaf, forest)
         leaves = leaves.unionByName(more)
+    _drop_sets(scratch, "stuck")
     return leaves
 
 
+def _drop_sets(scratch: Scratch, name: str) -> None:
+    """Drops what _texts_of saved; nothing that is still read may need it."""
+    for table in ("wanted", "sets", "once"):
+        scratch.drop(f"{name}-{table}")
+
+
 def _may(a: str, b: str, num: int, den: int) -> Column:
     """Sizes and tokens of two rows allow a link."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -217,6 +224,7 @@ def _judged(docs: DataFrame, num: int, den: int, trees: int = TREES, leaf: int =
     least = full.groupBy("path").agg(F.min(F.struct("rep", "n", *SIG)).alias("x")).select("path", "x.*")
     star = full.alias("m").join(least.alias("l"), "path").filter((F.col("l.rep") < F.col("m.rep")) & _may("l", "m", num, den))
     links = scratch.save(confirm(star.select(F.col("l.rep").alias("a"), F.col("m.rep").alias("b")), classes, docs, scratch, "star", num, den), "star-links")
+    _drop_sets(scratch, "star")
     found = components(links, scratch, "star-cc")
 
     placed = classes.select("rep").join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root"))
@@ -224,7 +232,8 @@ def _judged(docs: DataFrame, num: int, den: int, trees: int = TREES, leaf: int =
     once = (F.col("y.root") == F.col("x.main")) | (F.col("x.rep") < F.col("y.rep"))
     rest = some.alias("x").join(all_.alias("y"), ["path", "bx", "by"]).filter(once & (F.col("x.root") != F.col("y.root")) & _may("x", "y", num, den))
     rest = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    more = confirm(rest, classes, docs, scratch, "rest", num, den)
+    more = scratch.save(confirm(rest, classes, docs, scratch, "rest", num, den), "rest-links")
+    _drop_sets(scratch, "rest")
     every = components(links.unionByName(more), scratch, "cc")
 
     of_class = classes.select("f1", "f2", "rep", "first_id").join(every, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep"))

@@ -1,10 +1,12 @@
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from arborlake.operators import graph
+from arborlake.session import CLEAN_UP, Scratch
 
 
 def make(spark, edges, nodes=None):
@@ -275,3 +277,20 @@ def test_a_small_graphs_task_gets_only_nodes_with_an_edge(spark, monkeypatch):
     assert scc.count() == 20_000 and scc.filter("id <> scc_id").count() == 3
     got = as_dict(graph.layers(e, scc), "id", "layer")
     assert len(got) == 20_000 and {k: got[k] for k in range(8)} == {0: 1, 1: 1, 2: 1, 3: 2, 4: 2, 5: 0, 6: 0, 7: 0}
+
+
+def test_the_shuffles_of_a_scratch_table_go_with_its_writing(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles() -> set[str]:
+        all_ = files.getAllFiles()
+        return {f for k in range(all_.size()) if (f := all_.apply(k).getName()).startswith("shuffle_")}
+
+    before, scratch = shuffles(), Scratch(spark, "shuffles")
+    saved = scratch.save(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "t")
+    end = time.time() + 20
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert spark.conf.get(CLEAN_UP) == "false"
+    assert saved.agg(F.sum("n")).first()[0] == 1000
