@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborlake.operators import graph
-from arborlake.session import CLEAN_UP, Scratch
+from arborlake.session import CLEAN_UP, PARTITION_BYTES, Scratch, sized
 
 
 def make(spark, edges, nodes=None):
@@ -294,3 +294,9 @@ def test_the_shuffles_of_a_scratch_table_go_with_its_writing(spark):
     assert not shuffles() - before
     assert spark.conf.get(CLEAN_UP) == "false"
     assert saved.agg(F.sum("n")).first()[0] == 1000
+
+
+def test_partitions_of_a_sized_session_grow_with_its_tables(spark):
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    n = [int(sized(spark, k * PARTITION_BYTES).conf.get("spark.sql.shuffle.partitions")) for k in (100, 600)]
+    assert n == [100, 600] and spark.conf.get("spark.sql.shuffle.partitions") == had
