@@ -82,11 +82,14 @@ def mann_kendall(df: DataFrame, keys: list[str] = ("series",)) -> DataFrame:
 
 
 def western_electric(df: DataFrame, keys: list[str] = ("series",), mean: float | None = None, sigma: float | None = None) -> DataFrame:
-    """Violations (idx, rule): 1 point beyond 3 sigma; 2 of 3 beyond 2; 4 of 5 beyond 1; 8 on one side. Fewer than 8 values or no spread: none."""
+    """Violations (idx, rule): 1 point beyond 3 sigma; 2 of 3 beyond 2; 4 of 5 beyond 1; 8 on one side. Fewer than 8 values or no spread: none.
+
+    All are windows over a series, so values are shuffled once and meet no other table."""
     keys = list(keys)
-    df = df.select(*keys, "idx", "value")
-    g = df.groupBy(*keys).agg(F.count("*").alias("n"), (F.lit(mean) if mean is not None else F.avg("value")).alias("mu"), (F.lit(sigma) if sigma is not None else F.stddev_pop("value")).alias("sd"))
-    j = df.join(g, keys).filter("n >= 8 AND sd >= 1e-12").withColumn("z", (F.col("value") - F.col("mu")) / F.col("sd"))
+    own = W.partitionBy(*keys)
+    mu, sd = F.lit(mean) if mean is not None else F.avg("value").over(own), F.lit(sigma) if sigma is not None else F.stddev_pop("value").over(own)
+    j = df.select(*keys, "idx", "value", F.count("*").over(own).alias("n"), mu.alias("mu"), sd.alias("sd"))
+    j = j.filter("n >= 8 AND sd >= 1e-12").withColumn("z", (F.col("value") - F.col("mu")) / F.col("sd"))
     w = W.partitionBy(*keys).orderBy("idx")
 
     def count(cond: Column, k: int) -> Column:

@@ -60,3 +60,17 @@ def test_delta_spark_alerts(spark):
     assert a["b"].level == "CRITICAL" and "a" not in a
     assert {r.series: r.level for r in stats.alerts(d, good_up=["b"]).collect()}["b"] == "INFO"
     assert {r.method for r in stats.anomalies(d).collect()} >= {"zscore"}
+
+
+def test_prices_are_shuffled_once_for_their_rules(spark):
+    from arborlake.sources.binding import Model
+
+    found = stats.anomalies(Model(spark, "/root/testdata/sf0.001").prices, method="western")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_a_null_series_has_rules_too(spark):
+    rows = [(None, i, float(v)) for i, v in enumerate([0, 1] * 10 + [99])]
+    found = stats.western_electric(spark.createDataFrame(rows, "series string, idx long, value double"))
+    assert [(r.series, r.idx) for r in found.filter("rule = 1").collect()] == [(None, 20)]
